@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, packing, secret_scans, token_output, url_filters
+from . import decontamination, ngram_jaccard, packing, secret_scans, token_output, url_filters
 from .shared import shared_dir, table
 
 RULES = [
@@ -21,6 +21,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.jaccard_classes(table(spark, sf_dir, "documents"))
+
+
 def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = f"{shared_dir(spark).rstrip('/')}/glyphwarden-tokens-{uuid.uuid4().hex}"
     token_output.write_tokens(table(spark, sf_dir, "documents"), out)
@@ -39,4 +43,4 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scans.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op5_token_output, op7_url_filters, op8_packing, op10_secret_scans)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op3_ngram_jaccard, op5_token_output, op7_url_filters, op8_packing, op10_secret_scans)}
