@@ -5,9 +5,10 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontamination, ngram_jaccard, packing, secret_scans, token_output, url_filters
-from .shared import shared_dir, table
+from . import decontamination, ngram_jaccard, packing, quality, secret_scans, token_output, toxicity, url_filters
+from .shared import crc_remainder, shared_dir, table
 
 RULES = [
     url_filters.rule("block", "net/"),
@@ -21,6 +22,13 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels, "toxic", crc_remainder(F.col("id"), 3) != 1)
+    scored = toxicity.score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "evidence")
+
+
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.jaccard_classes(table(spark, sf_dir, "documents"))
 
@@ -39,8 +47,15 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.fit(docs, labels, "quality", crc_remainder(F.col("id"), 5) != 0)
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", (crc_remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scans.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op3_ngram_jaccard, op5_token_output, op7_url_filters, op8_packing, op10_secret_scans)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_toxicity, op3_ngram_jaccard, op5_token_output, op7_url_filters, op8_packing, op9_quality, op10_secret_scans)}
