@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, ngram_jaccard, packing, quality, secret_scans, token_output, toxicity, url_filters
+from . import decontamination, lm_scoring, ngram_jaccard, packing, quality, secret_scans, token_output, toxicity, url_filters
 from .shared import crc_remainder, shared_dir, table
 
 RULES = [
@@ -39,6 +39,11 @@ def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.read_tokens(spark, out).drop("ids")
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm_scoring.score(table(spark, sf_dir, "documents"), lm_scoring.trained_on())
+    return scored.withColumn("held_out", ~lm_scoring.trained_on()).drop("n_bytes")
+
+
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge_urls(table(spark, sf_dir, "pages"), RULES)
 
@@ -58,4 +63,4 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scans.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_toxicity, op3_ngram_jaccard, op5_token_output, op7_url_filters, op8_packing, op9_quality, op10_secret_scans)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_toxicity, op3_ngram_jaccard, op5_token_output, op6_lm_scoring, op7_url_filters, op8_packing, op9_quality, op10_secret_scans)}
