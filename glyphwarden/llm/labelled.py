@@ -29,7 +29,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, per_c
 class WordCache:
     """make(word) for words, kept in two generations of at most `room` words each."""
 
-    def __init__(self, make: Callable, room: int = 400_000):
+    def __init__(self, make: Callable, room: int = 200_000):
         self.make, self.room = make, room
         self.young: dict = {}
         self.old: dict = {}

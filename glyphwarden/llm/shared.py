@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import uuid
 
 import numpy as np
@@ -75,6 +77,16 @@ def utf8_column(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
+def tidy() -> None:
+    """Give memory that a finished task held back to the system: workers live on, and share their executor's limit."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = 4_000_000):
     """Cut a batch into runs of rows whose texts have about `limit` bytes, to bound memory."""
     i = batch.schema.get_field_index(column)

@@ -2,7 +2,7 @@
 
 Terms are whole words and the 5-character pieces of padded words, lower-cased.  From a
 bounded sample of labelled rows (`per_class` of each label; near copies in it count once)
-the terms that go with either label by a chi-square test are chosen; examples and
+the terms that go with either label by a chi-square test, at odds of `least_odds`, are chosen; examples and
 documents are TF-IDF vectors over them.  The examples stand in an inverted index with the
 greatest impact of each term in each block of examples; a search opens blocks in the order
 of their bounds and stops when no closed block can hold a nearer example, so the k nearest
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
 from . import labelled
-from .shared import crc_remainder, slices, stored
+from .shared import crc_remainder, slices, stored, tidy
 
 _WORD = re.compile(r"[^\W_]+")
 BLOCK = 64
@@ -87,10 +87,11 @@ class Model:
     def nearest(self, counts: dict[int, int], k: int) -> tuple[np.ndarray, np.ndarray]:
         """(examples, cosines) of the k nearest, nearest first, equal ones in index order; cosine above 0."""
         ids, q = self.vector(counts)
-        bounds = q @ self.most[ids] if ids else np.zeros(0)
+        bounds = np.round(q @ self.most[ids] + 1e-9, 9) if ids else np.zeros(0)
         found_who, found_sim, least = np.zeros(0, np.int64), np.zeros(0), 0.0
         for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or bounds[b] * (1 + 1e-9) < least:
+            # blocks of equal bounds come in index order, so an equal score further on is no nearer
+            if bounds[b] <= 2e-9 or bounds[b] < least or (bounds[b] <= least + 2e-9 and b * BLOCK > found_who.max()):
                 break
             scores = np.zeros(BLOCK)
             for t, v in zip(ids, q, strict=True):
@@ -160,7 +161,7 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
     return np.array(points), np.maximum.accumulate(np.array(values)) if values else np.array(values)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str, usable: Column, per_class: int = 3000, least_chi: float = 30.0, most_terms: int = 4096, k: int = 15) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, label: str, usable: Column, per_class: int = 3000, least_chi: float = 20.0, least_odds: float = 9.0, most_terms: int = 4096, k: int = 15) -> Model | None:
     """The model of a bounded sample; None without labelled rows."""
     texts, sizes = labelled.sample(docs, labels, label, usable, per_class)
     if not sizes:
@@ -184,16 +185,39 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, usable: Column, per_clas
     single = counted.join(F.broadcast(first), ["mark", "y", "h"], "left_semi")
     n = {r["y"]: r["n"] for r in single.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n0, n1 = n.get(0, 0), n.get(1, 0)
-    df = single.select("y", F.explode("terms").alias("t")).groupBy("t").agg(F.sum("y").alias("b"), F.count("*").alias("d")).where("d >= 5")
+
+    def tally(batches):
+        """Examples with each term, of label 1 and in all, by task."""
+        ones, every = Counter(), Counter()
+        for b in batches:
+            for y, found in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                every.update(found)
+                if y:
+                    ones.update(found)
+        yield pa.RecordBatch.from_arrays([pa.array(every, pa.string()), pa.array([ones[t] for t in every], pa.int64()), pa.array(every.values(), pa.int64())], names=["t", "b", "d"])
+
+    df = single.select("y", "terms").mapInArrow(tally, "t string, b long, d long").groupBy("t").agg(F.sum("b").alias("b"), F.sum("d").alias("d")).where("d >= 3")
     a, b, total = F.col("d") - F.col("b"), F.col("b"), n0 + n1
     det = a * (n1 - b) - b * (n0 - a)
     chi = F.lit(float(total)) * det * det / (F.lit(float(max(n0, 1))) * max(n1, 1) * F.col("d") * F.greatest(F.lit(total) - F.col("d"), F.lit(0.5)))
-    chosen = df.withColumn("chi", chi).where(F.col("chi") >= least_chi).orderBy(F.desc("chi"), "t").limit(most_terms).collect()
+    # a term must speak for one label, not merely be commoner with it, as words of one language are
+    r1, r0 = (b + 0.5) / max(n1, 1), (a + 0.5) / max(n0, 1)
+    telling = (r1 >= least_odds * r0) | (r0 >= least_odds * r1)
+    chosen = df.withColumn("chi", chi).where((F.col("chi") >= least_chi) & telling).orderBy(F.desc("chi"), "t").limit(most_terms).collect()
     vocabulary = {r["t"]: i for i, r in enumerate(chosen)}
     idf = np.array([math.log((1 + total) / (1 + r["d"])) + 1 for r in chosen])
-    wanted = F.array(*(F.lit(t) for t in vocabulary)) if vocabulary else F.array().cast("array<string>")
-    kept = single.select("y", "h", F.filter(F.arrays_zip("terms", "counts"), lambda x: F.array_contains(wanted, x["terms"])).alias("v")).orderBy("h", "y").collect()
-    examples = [{vocabulary[x["terms"]]: x["counts"] for x in r["v"]} for r in kept]
+
+    def choose(batches):
+        for b in batches:
+            out = []
+            for found, counts in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                out.append(sorted((vocabulary[t], n) for t, n in zip(found, counts, strict=True) if t in vocabulary))
+            lists = [[[p[k] for p in v] for v in out] for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(v, pa.list_(pa.int32())) for v in lists)], names=["y", "h", "ids", "n"])
+
+    kept = single.select("y", "h", "terms", "counts").mapInArrow(choose, "y int, h long, ids array<int>, n array<int>").collect()
+    kept.sort(key=lambda r: (r["ids"], r["n"], r["h"]))  # alike examples share blocks, which makes the bounds tight
+    examples = [dict(zip(r["ids"], r["n"], strict=True)) for r in kept]
     y = np.array([r["y"] for r in kept])
     share = {v: sizes.get(v, 0) / max(n.get(v, 0), 1) for v in (0, 1)}
     return Model(vocabulary, idf, examples, y, [r["h"] for r in kept], share, k)
@@ -218,6 +242,9 @@ def score(docs: DataFrame, model: Model | None, text_col: str = "text", out: tup
                     c = Counter(t for ts in cache.of((text or "").lower().split()) if ts for t in ts)
                     got.append(m.score(c))
                 yield pa.RecordBatch.from_arrays([*s.columns, pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.string())], names=[*s.schema.names, *out])
+        if cache:
+            cache.young, cache.old = {}, {}
+        tidy()
 
     schema = StructType([*kept.schema.fields]).add(out[0], DoubleType()).add(out[1], StringType())
     return kept.mapInArrow(run, schema)
