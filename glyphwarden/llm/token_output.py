@@ -77,7 +77,10 @@ def write_tokens(docs: DataFrame, out: str, id_col: str = "doc_id", text_col: st
         import zstandard
 
         enc, width = encoder(path, tokenizer, "word"), id_width(tokenizer, path)
-        press = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None, write_content_size=True)
+        shared = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
+        if shared:
+            shared.precompute_compress(level=3)  # else every document would digest it again
+        press = zstandard.ZstdCompressor(level=3, dict_data=shared, write_content_size=True)
         end = np.array([end_id], "<u4").tobytes()
         part, blocks, before = TaskContext.get().partitionId(), itertools.count(), 0
         ids, counts, frames, size = [], [], [], 0
