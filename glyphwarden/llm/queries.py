@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, lm_scoring, ngram_jaccard, packing, quality, secret_scans, token_output, toxicity, url_filters
+from . import decontamination, lm_scoring, ngram_jaccard, packing, quality, secret_scans, token_output, topk_search, toxicity, url_filters
 from .shared import crc_remainder, shared_dir, table
 
 RULES = [
@@ -33,6 +33,10 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.jaccard_classes(table(spark, sf_dir, "documents"))
 
 
+def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.search(table(spark, sf_dir, "documents"), F.col("doc_id") % 20 == 0)
+
+
 def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = f"{shared_dir(spark).rstrip('/')}/glyphwarden-tokens-{uuid.uuid4().hex}"
     token_output.write_tokens(table(spark, sf_dir, "documents"), out)
@@ -63,4 +67,4 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scans.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_toxicity, op3_ngram_jaccard, op5_token_output, op6_lm_scoring, op7_url_filters, op8_packing, op9_quality, op10_secret_scans)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_toxicity, op3_ngram_jaccard, op4_topk_search, op5_token_output, op6_lm_scoring, op7_url_filters, op8_packing, op9_quality, op10_secret_scans)}
