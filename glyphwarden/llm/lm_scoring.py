@@ -15,8 +15,9 @@ within this bound is found from all counts, rarer strings count at the shorter c
 and stand at the longest one for that many coin tosses.
 
 Base.  Words (blank-separated, A-Z lower-cased) and one end for each text are counted over
-all training documents.  The most frequent words, up to `words`, are broadcast; the other
-tokens of each document are shuffled to the counts by word.
+all training documents.  Words that stand there four times or more, the most frequent
+`words` of them at most, are broadcast; the other tokens of each document are shuffled to
+the counts by word.
 
 Special cases: null texts are empty texts (an end alone); a null id counts as the empty
 text for the fold; repeated rows are scored, and learned from, one by one; without
@@ -34,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import crc_remainder, mix64, slices, stored, utf8_column
+from .shared import crc_remainder, mix64, slices, stored, tidy, utf8_column
 from .wordhash import word_hashes
 
 _RUN = 1 << 20
@@ -143,6 +144,7 @@ def train_counts(docs: DataFrame, depth: int, parts: int) -> DataFrame:
                 at = order[cuts[p] : cuts[p + 1]]
                 if at.size:
                     yield _row(kind, p, _pack(tally.keys[at]), _press(tally.counts[at]))
+        tidy()
         yield _row("n", None, n_words.to_bytes(8, "big"), n_rows.to_bytes(8, "big"))
 
     return docs.select("text").mapInArrow(run, "kind string, part int, keys binary, counts binary")
@@ -166,9 +168,10 @@ def reduced(packed: DataFrame) -> DataFrame:
     return packed.groupBy("kind", "part").applyInArrow(run, "kind string, part int, power int, n long, keys binary, counts binary")
 
 
-def most_frequent(counted: DataFrame, room: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """(keys, counts) of whole powers of two from above, `room` at most, and the least power among them."""
+def most_frequent(counted: DataFrame, room: int, lowest: int = 0) -> tuple[np.ndarray, np.ndarray, int]:
+    """(keys, counts) of whole powers of two from above down to `lowest`, `room` at most, and the least power among them."""
     least = 64
+    counted = counted.where(F.col("power") >= lowest)
     for r in counted.groupBy("power").agg(F.sum("n").alias("n")).orderBy(F.desc("power")).collect():
         if r["n"] > room:
             break
@@ -214,13 +217,16 @@ class Tree:
         self.depth = len(levels) - 1
         self.keys = [k for k, _ in levels]
         self.total = [np.concatenate([[0], np.cumsum(c)]) for _, c in levels]
-        self.weights: list[np.ndarray] = [np.zeros((8, 0), np.float32)] * (self.depth + 1)
-        self.below = [np.searchsorted(self.keys[d], self.keys[d + 1] & self._mask(d)) for d in range(self.depth)]
-        deeper = None
-        for d in range(self.depth, -1, -1):
-            deeper = self._weigh(d, deeper)
+        # the longest contexts have weight 1, which is not kept
+        self.weights = [np.ones((8, k.size if d < self.depth else 0), np.float32) for d, k in enumerate(self.keys)]
+        self.below = [np.searchsorted(self.keys[d], self.keys[d + 1] & self._mask(d)).astype(np.int32) for d in range(self.depth)]
+        for bit in range(8):  # one bit at a time bounds the memory
+            deeper = None
+            for d in range(self.depth, -1, -1):
+                deeper = self._weigh(d, bit, deeper) if self.keys[d].size else None
         self._settle()
         del self.below
+        tidy()
 
     @staticmethod
     def _mask(d: int) -> np.uint64:
@@ -230,31 +236,27 @@ class Tree:
         """(first entry of each node at this bit, group of each entry, zeros, ones)."""
         k = self.keys[d] >> np.uint64(8 - bit)
         first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-        group = np.cumsum(np.concatenate([[0], (k[1:] != k[:-1]).astype(np.int64)]))
+        group = np.cumsum(np.concatenate([[0], (k[1:] != k[:-1]).astype(np.int32)]), dtype=np.int32)
         c = np.diff(self.total[d])
         one = (self.keys[d] >> np.uint64(7 - bit)) & np.uint64(1)
         ones = np.add.reduceat(np.where(one == 1, c, 0), first)
         return first, group, np.add.reduceat(c, first) - ones, ones
 
-    def _weigh(self, d: int, deeper: list | None) -> list:
-        """Posterior weights of depth d, from (log P_w, counts) of the nodes one byte deeper; returns the same of this depth."""
-        out, weights = [], np.ones((8, self.keys[d].size), np.float32)
-        for bit in range(8 if self.keys[d].size else 0):
-            first, group, zeros, ones = self._groups(d, bit)
-            own = log_kt(zeros, ones)
-            if deeper is None:
-                whole = own
-            else:
-                their_first, their_log, their_n = deeper[bit]
-                to = group[self.below[d][their_first]]
-                split = np.bincount(to, weights=their_log, minlength=first.size)
-                # what was seen here but is not kept one byte deeper: coin tosses
-                split += (zeros + ones - np.bincount(to, weights=their_n, minlength=first.size)) * math.log(0.5)
-                whole = np.logaddexp(own, split) - math.log(2)
-                weights[bit] = np.exp(own - math.log(2) - whole)[group]
-            out.append((first, whole, zeros + ones))
-        self.weights[d] = weights
-        return out if out else [(np.zeros(0, int), np.zeros(0), np.zeros(0))] * 8
+    def _weigh(self, d: int, bit: int, deeper: tuple | None) -> tuple:
+        """Posterior weights of depth d, from (first entries, log P_w, counts) of the nodes one byte deeper; returns the same of this depth."""
+        first, group, zeros, ones = self._groups(d, bit)
+        own = log_kt(zeros, ones)
+        if d == self.depth:
+            return first, own, zeros + ones
+        split, seen = np.zeros(first.size), np.zeros(first.size)
+        if deeper is not None:
+            to = group[self.below[d][deeper[0]]]
+            split, seen = np.bincount(to, weights=deeper[1], minlength=first.size), np.bincount(to, weights=deeper[2], minlength=first.size)
+        # what was seen here but is not kept one byte deeper: coin tosses
+        split += (zeros + ones - seen) * math.log(0.5)
+        whole = np.logaddexp(own, split) - math.log(2)
+        self.weights[d][bit] = np.exp(own - math.log(2) - whole)[group]
+        return first, whole, zeros + ones
 
     def _settle(self) -> None:
         """log10 of the mixed probability of each longest string's last byte."""
@@ -267,7 +269,7 @@ class Tree:
                 _, group, zeros, ones = self._groups(d, bit)
                 one = ((self.keys[d] >> np.uint64(7 - bit)) & np.uint64(1)) == 1
                 p = (np.where(one, ones[group], zeros[group]) + 0.5) / (zeros + ones + 1)[group]
-                w = self.weights[d][bit]
+                w = self.weights[d][bit] if d < self.depth else 1.0
                 if mixed is None:
                     mixed, left = w * p, 1.0 - w
                 else:
@@ -359,7 +361,7 @@ def fit_tree(counted: DataFrame, depth: int, strings: int, parts: int) -> Tree:
     return Tree(levels)
 
 
-def score(docs: DataFrame, train: Column, depth: int = 5, strings: int = 4_000_000, words: int = 3_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, train: Column, depth: int = 5, strings: int = 2_000_000, words: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_tokens, n_known, train_tokens, base_score, score, n_bytes of every row; `train` is a condition on docs."""
     spark = docs.sparkSession
     parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -376,11 +378,13 @@ def score(docs: DataFrame, train: Column, depth: int = 5, strings: int = 4_000_0
     tokens = n_words + n_rows
     kinds = (counted_words.agg(F.sum("n")).first()[0] or 0) + (n_rows > 0)
     tree = fit_tree(counted.where("kind = 's'"), depth, strings, parts)
-    heavy_keys, heavy_counts, _ = most_frequent(counted_words, words)
+    heavy_keys, heavy_counts, _ = most_frequent(counted_words, words, lowest=2)
     below = tokens + 0.1 * (kinds + 1)
     values = np.log10((heavy_counts + 0.1) / below)
     end_value = math.log10((n_rows + 0.1) / below)
     held = spark.sparkContext.broadcast((tree, heavy_keys, values))
+    del tree, heavy_keys, values, heavy_counts
+    tidy()
 
     def run(batches):
         tree, keys, values = held.value
@@ -432,16 +436,13 @@ def score(docs: DataFrame, train: Column, depth: int = 5, strings: int = 4_000_0
         who = np.concatenate([np.frombuffer(x, np.int64) for x in t.column("whose").to_pylist() if x is not None] or [np.zeros(0, np.int64)])
         at = np.minimum(np.searchsorted(keys, h), max(keys.size - 1, 0))
         c = np.where(keys[at] == h, counts[at], 0) if keys.size else np.zeros(h.size, np.int64)
-        ids, index = np.unique(who, return_inverse=True)
-        return pa.table({
-            "uid": pa.array(ids), "n_known": pa.array(np.bincount(index, weights=c > 0, minlength=ids.size).astype(np.int64)),
-            "base": pa.array(np.bincount(index, weights=np.log10((c + 0.1) / below), minlength=ids.size)),
-        })
+        return pa.table({"uid": pa.array(who), "n": pa.array(c)})
 
     rare = scored.where("part is not null").select("part", F.lit(None).cast("binary").alias("keys"), F.lit(None).cast("binary").alias("counts"), "rare", "whose")
     known = counted_words.select("part", "keys", "counts", F.lit(None).cast("binary").alias("rare"), F.lit(None).cast("binary").alias("whose"))
-    more = rare.unionByName(known).groupBy("part").applyInArrow(look_up, "uid long, n_known long, base double")
-    more = more.groupBy("uid").agg(F.sum("n_known").alias("more_known"), F.sum("base").alias("more_base"))
+    more = rare.unionByName(known).groupBy("part").applyInArrow(look_up, "uid long, n long")
+    value = F.log10((F.col("n") + 0.1) / F.lit(below))
+    more = more.groupBy("uid").agg(F.sum((F.col("n") > 0).cast("long")).alias("more_known"), F.sum(value).alias("more_base"))
     rows = scored.where("part is null").select(id_col, "uid", "n_tokens", "n_known", "base", "score", "n_bytes")
     return rows.join(more, "uid", "left").select(
         id_col, "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
