@@ -169,7 +169,10 @@ def read_corpus(spark: SparkSession, path: str, least_tokens: int = 40) -> DataF
     lines = spark.read.text(path).select(F.trim("value").alias("v"), F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1).alias("file")).where("v <> '' and v not like '//%'")
     row = lines.withColumn("r", F.from_json("v", "text string, label string, source string"))
     label = F.when(F.col("r.label").isin("human", "ai"), F.col("r.label")).otherwise(F.raise_error(F.concat(F.lit("label must be human or ai: "), F.col("v"))).cast("string"))
-    return row.select(F.col("r.text").alias("text"), label.alias("label"), F.coalesce("r.source", "file").alias("source")).where(F.size(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0))) >= least_tokens)
+    return row.select(F.col("r.text").alias("text"), label.alias("label"), F.coalesce("r.source", "file").alias("source")).where(
+        # the label is looked at first, for short texts too
+        F.when(F.length("label") > 0, F.size(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0))) >= least_tokens).otherwise(False)
+    )
 
 
 def write_by_workspace(df: DataFrame, path: str, fmt: str = "parquet") -> None:
