@@ -26,8 +26,14 @@ def load(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A small table in fewer splits than there are cores is dealt out; a large one has splits enough and is left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def docs(spark: SparkSession, d: str) -> DataFrame:
-    return load(spark, d, "documents").select("doc_id", "text")
+    return spread(load(spark, d, "documents").select("doc_id", "text"))
 
 
 def carried_text(i: Column, t: Column) -> Column:

@@ -22,39 +22,36 @@ from pyspark.sql.types import StringType, StructField, StructType
 PLAIN = ("txt", "md", "markdown", "csv", "tsv", "log", "rst", "")
 LOSSY = ("pdf", "html")
 ALLOWED = ("txt", "md", "markdown", "csv", "tsv", "log", "rst", "json", "html", "htm", "pdf", "docx")
-BLOCKS = frozenset("p div br li tr h1 h2 h3 h4 h5 h6 section article header footer blockquote pre table ul ol".split())
+# Tags that begin a line, tags whose end begins one, tags whose content is not text.
+BEGINS = frozenset("p br div li tr h1 h2 h3 h4 h5 h6".split())
+ENDS = frozenset("p div li tr".split())
 SKIPPED = frozenset("script style head noscript".split())
 MOST_CHARS = 200_000
 
 
-class _Text(html.parser.HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.out: list[str] = []
-        self.hidden = 0
-
-    def handle_starttag(self, tag, attrs):
-        self.hidden += tag in SKIPPED
-        if tag in BLOCKS and not self.hidden:
-            self.out.append("\n")
-
-    def handle_endtag(self, tag):
-        if tag in SKIPPED:
-            self.hidden = max(0, self.hidden - 1)
-        elif tag in BLOCKS and not self.hidden:
-            self.out.append("\n")
-
-    def handle_data(self, data):
-        if not self.hidden:
-            self.out.append(data)
+def _events(page: str) -> list[tuple[str, str]]:
+    """("+", tag), ("-", tag) and ("", text) in the order of the page."""
+    out: list[tuple[str, str]] = []
+    parser = html.parser.HTMLParser(convert_charrefs=True)
+    parser.handle_starttag = lambda tag, attrs: out.append(("+", tag))
+    parser.handle_endtag = lambda tag: out.append(("-", tag))
+    parser.handle_data = lambda data: out.append(("", data))
+    parser.feed(page)
+    parser.close()
+    return out
 
 
 def html_text(page: str) -> str:
-    """Visible text: blocks end lines, scripts and heads go, three or more line ends become two."""
-    parser = _Text()
-    parser.feed(page)
-    parser.close()
-    return re.sub(r"\n{3,}", "\n\n", "".join(parser.out)).strip()
+    """Text outside scripts, styles and heads, with line ends around blocks; three or more line ends become two."""
+    depth, out = 0, []
+    for sign, x in _events(page):
+        if not sign:
+            out.append("" if depth else x)
+        elif x in SKIPPED:
+            depth = max(0, depth + (1 if sign == "+" else -1))
+        elif x in (BEGINS if sign == "+" else ENDS):
+            out.append("\n")
+    return re.sub(r"\n{3,}", "\n\n", "".join(out)).strip()
 
 
 def json_strings(text: str) -> str:
