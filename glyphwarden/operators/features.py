@@ -157,3 +157,8 @@ def measure(docs: DataFrame, text: str = "text", language: str | None = None, re
 def repeated_grams(tokens: Column, n: int = 5) -> Column:
     """The n-grams of words of a text, as strings."""
     return F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.array_join(F.slice(tokens, i, n), " ")))
+
+
+def gram_hashes(tokens: Column, n: int = 5) -> Column:
+    """The same n-grams as 64-bit hashes, where only repeats count: longs sort faster than strings."""
+    return F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.xxhash64(F.slice(tokens, i, n))))

@@ -9,7 +9,7 @@ from ..functions import codepoints as cp
 from ..functions.spans import prepared
 from ..functions.text import let, matches, occurrences, steps, words
 from . import scan
-from .features import filled_lines, repeated_grams
+from .features import filled_lines, gram_hashes
 from .payloads import decode_all
 
 SIGNAL = "struct<id:string,category:string,score:double,weight:double,severity:string,rank:int,summary:string>"
@@ -75,7 +75,7 @@ def signals(docs: DataFrame, text: str = "text", ready: bool = False) -> DataFra
         "homoglyphs", F.when(t.rlike(f"[{cp.LOOK_ALIKES}]"), scan.homoglyph_array(t)).otherwise(F.array().cast("array<struct<offset:int,ch:string,latin:string,word:string>>"))
     )
     df = df.withColumn("__invisible", _of(F.col("hits"), "zero_width", "tag_char", "variation_selector")).withColumn("__exotic", _of(F.col("hits"), "exotic_space"))
-    df = df.withColumn("__bidi", F.size(_of(F.col("hits"), "bidi_control"))).withColumn("__tok", F.transform(words(F.col("normalized")), F.lower)).withColumn("__grams", repeated_grams(F.col("__tok")))
+    df = df.withColumn("__bidi", F.size(_of(F.col("hits"), "bidi_control"))).withColumn("__tok", F.transform(words(F.col("normalized")), F.lower)).withColumn("__grams", gram_hashes(F.col("__tok")))
     norm = F.col("normalized")
     n_inv, n_exo, n_homo = F.size("__invisible"), F.size("__exotic"), F.size("homoglyphs")
     inv_score, exo_score = F.col("__inv"), F.col("__exo")

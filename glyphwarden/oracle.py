@@ -101,6 +101,9 @@ ORACLE_SQL = {
         UNION ALL SELECT doc_id, 'exotic_whitespace', least(0.8, {_steps('n', ((1, 0.12), (4, 0.25), (15, 0.4), (50, 0.55)))} + 0.25 * reg), 0.5 FROM r WHERE cat = 'exotic_space'
         UNION ALL SELECT doc_id, 'homoglyph_substitution', {_steps('n', ((1, 0.5), (3, 0.68), (10, 0.85), (30, 0.93)))}, 0.95 FROM hg)
       SELECT doc_id, id, round(CAST(score AS DOUBLE), 6) AS score, CAST(weight AS DOUBLE) AS weight, {_severity('score')} AS severity FROM u""",
+    "latinize_homoglyphs": f"""WITH {_CARRIED}, g AS (SELECT doc_id, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_]+') AS ps FROM carried)
+      SELECT doc_id, sha256(array_to_string(list_transform(ps, lambda w: CASE WHEN length(w) >= 2 AND regexp_matches(w, '[A-Za-zÀ-ÖØ-öø-ɏ]') THEN translate(w, 'еоа', 'eoa') ELSE w END), '')) AS sha256 FROM g""",
+    "trace_leak": "SELECT doc_id, 'bob#2' AS payload, 'bob' AS recipient FROM documents WHERE doc_id % 3 = 0",
     "language_detect": _LANG + " SELECT doc_id, language, language_confidence FROM l",
     "language_confusion": _LANG + " SELECT lang, language, count(*) AS n FROM l GROUP BY ALL",
     "word_counts": f"WITH {_COUNTS} SELECT doc_id, token, n FROM c",
