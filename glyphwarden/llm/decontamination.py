@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ascii_lower, stored
+from .shared import ascii_lower, few, stored
 
 #: Fixed value of the contract: what stands between words, after lower-casing.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -127,12 +127,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
 
     The verdict depends on the text alone, so rows are matched by the hash of their text.
     """
-    key = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
+    key = F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
     found = hits(docs, benchmark, [key, F.monotonically_increasing_id()], F.col(text_col), size=size)
     counted = found.select(F.col("k0").alias("__key"), "n_words", _hit_words().alias("__hit")).where(F.size("__hit") > 0)
     if remove == "documents":
         gone = stored(counted.where(is_contaminated(F.size("__hit"), F.col("n_words"))).select("__key").distinct(), "contaminated")
-        return docs.withColumn("__key", key).join(gone, "__key", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+        return docs.withColumn("__key", key).join(few(gone, 500_000), "__key", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
     cut = stored(counted.select("__key", "__hit").dropDuplicates(["__key"]), "hit-words")
     pieces = F.regexp_extract_all(F.col(text_col), F.lit(r"[0-9A-Za-z\x{80}-\x{10FFFF}]+|[^0-9A-Za-z\x{80}-\x{10FFFF}]+"), F.lit(0))
     kept = F.expr("array_join(filter(__pieces, (x, i) -> (i % 2 = 0) != (__pieces[0] rlike '^[0-9A-Za-z\\\\x{80}-\\\\x{10FFFF}]') or not array_contains(__hit, int(i div 2))), '')")

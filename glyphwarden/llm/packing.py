@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import slices
+from .shared import slices, tidy
 from .tokens import encoder
 
 
@@ -91,6 +91,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
 
     def run(batches):
+        tidy()
         enc, levels, end = encoder(path, tokenizer, "byte"), Levels(window), np.array([end_id], "<u4").tobytes()
         sequence = TaskContext.get().partitionId() << 32
         rows: list[tuple] = []
@@ -128,6 +129,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
             close(held)
         if rows:
             yield out()
+        tidy()
 
     schema = f"`{id_col}` {id_type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids
     return docs.select(F.col(id_col), F.col(text_col).alias("text")).mapInArrow(run, schema)

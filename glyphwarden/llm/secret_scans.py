@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import slices
+from .shared import slices, tidy
 from .tokens import default_path
 
 #: Fixed values of the contract.
@@ -139,5 +139,6 @@ def redact(docs: DataFrame, text_col: str = "text", ratio: float = 1.9, path: st
                 cols = list(s.columns)
                 cols[at] = pa.array(texts, s.schema.field(at).type)
                 yield pa.RecordBatch.from_arrays(cols, schema=s.schema)
+        tidy()
 
     return docs.mapInArrow(run, docs.schema)

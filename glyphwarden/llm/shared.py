@@ -43,6 +43,11 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """df as a broadcast side if it has at most `rows` rows, which are counted; else Spark's own choice of join."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm

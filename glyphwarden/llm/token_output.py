@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import slices
+from .shared import slices, tidy
 from .tokens import encoder
 
 BLOCK_SCHEMA = (
@@ -106,6 +106,7 @@ def write_tokens(docs: DataFrame, out: str, id_col: str = "doc_id", text_col: st
                         yield block()
         if ids:
             yield block()
+        tidy()
 
     ordered = chosen.repartitionByRange("id").sortWithinPartitions("id")
     ordered.mapInArrow(run, BLOCK_SCHEMA).write.option("compression", "uncompressed").parquet(f"{out}/blocks")

@@ -45,7 +45,7 @@ def default_path(name: str) -> str:
 class Encoder:
     """ids of whole texts as bytes; `kind` is "word" (lower case, white space dropped) or "byte" (GPT-2 splitting)."""
 
-    def __init__(self, path: str, kind: str, room: int = 1_200_000):
+    def __init__(self, path: str, kind: str, room: int = 800_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
         from tokenizers import Tokenizer
@@ -120,5 +120,5 @@ class Encoder:
 
 @functools.lru_cache(maxsize=4)
 def encoder(path: str | None, name: str, kind: str) -> Encoder:
-    """One encoder per Python worker, kept between tasks."""
-    return Encoder(path or default_path(name), kind)
+    """One encoder per Python worker, kept between tasks: a piece takes about 200 bytes of the worker's memory."""
+    return Encoder(path or default_path(name), kind, 1_200_000 if kind == "word" else 800_000)
