@@ -32,7 +32,8 @@ def blot_out_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs)
+    """The workers have run the other stages before, so the tokenizer's cache is kept small."""
+    return packing.pack(docs, cache_pieces=250_000)
 
 
 STAGES = [

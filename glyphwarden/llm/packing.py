@@ -85,14 +85,17 @@ def recut(pieces: list[tuple], window: int) -> list[list[tuple]]:
     return out
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "byte_bpe_50k.json", path: str | None = None, end_id: int = 0, window: int = 1024, with_ids: bool = False) -> DataFrame:
-    """One row for each piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and the ids themselves)."""
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "byte_bpe_50k.json", path: str | None = None, end_id: int = 0, window: int = 1024, with_ids: bool = False, cache_pieces: int = 1_200_000) -> DataFrame:
+    """One row for each piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and the ids themselves).
+
+    `cache_pieces` bounds the tokenizer's cache in each worker: fewer take less memory and more time.
+    """
     id_type = docs.schema[id_col].dataType.simpleString()
     names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
 
     def run(batches):
         tidy()
-        enc, levels, end = encoder(path, tokenizer, "byte"), Levels(window), np.array([end_id], "<u4").tobytes()
+        enc, levels, end = encoder(path, tokenizer, "byte", cache_pieces), Levels(window), np.array([end_id], "<u4").tobytes()
         sequence = TaskContext.get().partitionId() << 32
         rows: list[tuple] = []
         kind = None

@@ -119,6 +119,6 @@ class Encoder:
 
 
 @functools.lru_cache(maxsize=4)
-def encoder(path: str | None, name: str, kind: str) -> Encoder:
-    """One encoder per Python worker, kept between tasks: a piece takes about 200 bytes of the worker's memory."""
-    return Encoder(path or default_path(name), kind, 1_200_000 if kind == "word" else 800_000)
+def encoder(path: str | None, name: str, kind: str, room: int = 1_200_000) -> Encoder:
+    """One encoder per Python worker, kept between tasks: each of up to `room` pieces takes about 200 bytes of its memory."""
+    return Encoder(path or default_path(name), kind, room)
