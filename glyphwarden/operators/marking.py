@@ -29,16 +29,16 @@ def payload_of(template: str, recipient: Column, index: Column) -> Column:
         at = m.end()
     rest = template[at:]
     if re.search(r"[{}]", _FIELD.sub("", template)):
-        raise MarkingError(f"template {template!r} uses a placeholder other than {{recipient}} or {{index}}")
+        raise MarkingError(f"only {{recipient}} and {{index}} can stand in braces: {template!r}")
     return F.concat(*parts, F.lit(rest))
 
 
 def marked_text(text: Column, payload: Column, channel: str = "tag_characters", repeat: int = 2) -> Column:
     """The text with the payload at `repeat` spread sentence ends, at the end where there is none."""
     if channel not in CHANNELS:
-        raise MarkingError(f"unknown channel: {channel!r}")
+        raise MarkingError(f"no such channel: {channel!r}")
     if repeat < 1:
-        raise MarkingError("repeat must be at least 1")
+        raise MarkingError("repeat is 1 or more")
     block = encode(channel, F.concat(payload, F.lit(SEPARATOR)))
     end = rf"(?<=[.!?])[{WHITE_SET}]+"
     pieces = F.regexp_extract_all(text, F.lit(rf"(?s).+?{end}|.+"), F.lit(0))
@@ -61,7 +61,7 @@ def mark_copies(docs: DataFrame, recipients: list[str], template: str = "{recipi
     if not recipients or len(recipients) > 100:
         raise MarkingError("1 to 100 recipients are required")
     if len(set(recipients)) != len(recipients):
-        raise MarkingError("recipients must be distinct, otherwise copies cannot be told apart")
+        raise MarkingError("a recipient is named twice")
     who = F.array(*(F.struct(F.lit(i).alias("index"), F.lit(r).alias("recipient")) for i, r in enumerate(recipients, 1)))
     rows = docs.select(key, F.col(text).alias("__t"), F.explode(who).alias("w")).withColumn("payload", payload_of(template, F.col("w.recipient"), F.col("w.index")))
     if channel == "tag_characters":
