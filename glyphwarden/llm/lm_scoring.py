@@ -10,9 +10,12 @@ over all training documents and shuffle by string.  A byte's probability mixes t
 estimates along its context path with the posterior weights of the nodes; unseen contexts
 say 1/2 to each bit.  The code length in bits a byte is -score / log10(2) / bytes.
 
-At most `strings` byte strings go into the broadcast model: the least count that keeps
-within this bound is found from all counts, rarer strings count at the shorter contexts,
-and stand at the longest one for that many coin tosses.
+The counts of all strings stay dealt out by a hash of their last CUT context bytes, so a
+task holds all of a node of CUT context bytes or more and weighs it.  Nodes of shorter
+contexts, at most 256**CUT strings whatever the input, are weighed on the driver.  The
+values of at most `strings` of the most frequent strings are broadcast; the other strings
+of each document, and those never seen, are shuffled to the counts, as rare words are, so
+the bound changes the way to a value and not the value.
 
 Base.  Words (blank-separated, A-Z lower-cased) and one end for each text are counted over
 all training documents.  Words that stand there four times or more, the most frequent
@@ -39,6 +42,8 @@ from .shared import crc_remainder, mix64, slices, stored, tidy, utf8_column
 from .wordhash import word_hashes
 
 _RUN = 1 << 20
+#: Nodes of so many context bytes and more are weighed where their strings are.
+CUT = 3
 
 
 def _press(a: np.ndarray) -> bytes:
@@ -121,6 +126,11 @@ def strings_of(raw: np.ndarray, offsets: np.ndarray, depth: int):
         yield keys[rel - depth], doc[lo : lo + _RUN]
 
 
+def placed(keys: np.ndarray, depth: int, parts: int) -> np.ndarray:
+    """The part of each string: those with the same last CUT context bytes are together."""
+    return (mix64((keys >> np.uint64(8)) & np.uint64((1 << 8 * min(CUT, depth)) - 1)) % np.uint64(parts)).astype(np.int64)
+
+
 def train_counts(docs: DataFrame, depth: int, parts: int) -> DataFrame:
     """docs(text) -> packed counts: (kind 's' or 'w', part, keys, counts), and one row of kind 'n' a task with token and row numbers."""
 
@@ -137,7 +147,7 @@ def train_counts(docs: DataFrame, depth: int, parts: int) -> DataFrame:
                 n_rows += s.num_rows
         for kind, tally in (("s", grams), ("w", words)):
             tally.settle()
-            part = (mix64(tally.keys) % np.uint64(parts)).astype(np.int64) if tally.keys.size else np.zeros(0, np.int64)
+            part = placed(tally.keys, depth, parts) if kind == "s" else (mix64(tally.keys) % np.uint64(parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             cuts = np.searchsorted(part[order], np.arange(parts + 1))
             for p in range(parts):
@@ -168,31 +178,21 @@ def reduced(packed: DataFrame) -> DataFrame:
     return packed.groupBy("kind", "part").applyInArrow(run, "kind string, part int, power int, n long, keys binary, counts binary")
 
 
-def most_frequent(counted: DataFrame, room: int, lowest: int = 0) -> tuple[np.ndarray, np.ndarray, int]:
-    """(keys, counts) of whole powers of two from above down to `lowest`, `room` at most, and the least power among them."""
+def least_power(counted: DataFrame, room: int) -> int:
+    """The least power of two of the counts such that there are at most `room` keys from it on; 64 where none fits."""
     least = 64
-    counted = counted.where(F.col("power") >= lowest)
     for r in counted.groupBy("power").agg(F.sum("n").alias("n")).orderBy(F.desc("power")).collect():
         if r["n"] > room:
             break
         least, room = r["power"], room - r["n"]
-    rows = counted.where(F.col("power") >= least).select("keys", "counts").collect()
-    keys, counts = merge([_unpack(r["keys"]) for r in rows], [_open(r["counts"], np.int64) for r in rows])
-    return keys, counts, least
+    return least
 
 
-def shortened(counted: DataFrame, least: int, bytes_left: int, parts: int) -> DataFrame:
-    """Counts of the strings rarer than 2**least, by their last bytes."""
-
-    def run(batches):
-        for b in batches:
-            for keys, counts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                k, c = merge([_unpack(keys) & np.uint64((1 << 8 * bytes_left) - 1)], [_open(counts, np.int64)])
-                part = (mix64(k) % np.uint64(parts)).astype(np.int64)
-                for p in np.unique(part):
-                    yield _row("s", int(p), _pack(k[part == p]), _press(c[part == p]))
-
-    return counted.where(F.col("power") < least).select("keys", "counts").mapInArrow(run, "kind string, part int, keys binary, counts binary")
+def most_frequent(counted: DataFrame, room: int, lowest: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, counts) of whole powers of two from above down to `lowest`, `room` at most."""
+    counted = counted.where(F.col("power") >= lowest)
+    rows = counted.where(F.col("power") >= least_power(counted, room)).select("keys", "counts").collect()
+    return merge([_unpack(r["keys"]) for r in rows], [_open(r["counts"], np.int64) for r in rows])
 
 
 _TABLE = np.array([[math.lgamma(i + 0.5) for i in range(4096)], [math.lgamma(i + 1.0) for i in range(4096)]])
@@ -210,102 +210,107 @@ def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return _lgamma(zeros, True) + _lgamma(ones, True) - _lgamma(zeros + ones, False) - math.log(math.pi)
 
 
-class Tree:
-    """Context-tree weighting over counts by depth; levels[d] = (ascending keys of d + 1 bytes, counts)."""
+def _mask(d: int) -> np.uint64:
+    return np.uint64((1 << 8 * (d + 1)) - 1)
 
-    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]]):
-        self.depth = len(levels) - 1
-        self.keys = [k for k, _ in levels]
-        self.total = [np.concatenate([[0], np.cumsum(c)]) for _, c in levels]
-        # the longest contexts have weight 1, which is not kept
-        self.weights = [np.ones((8, k.size if d < self.depth else 0), np.float32) for d, k in enumerate(self.keys)]
-        self.below = [np.searchsorted(self.keys[d], self.keys[d + 1] & self._mask(d)).astype(np.int32) for d in range(self.depth)]
-        for bit in range(8):  # one bit at a time bounds the memory
-            deeper = None
-            for d in range(self.depth, -1, -1):
-                deeper = self._weigh(d, bit, deeper) if self.keys[d].size else None
-        self._settle()
-        del self.below
-        tidy()
 
-    @staticmethod
-    def _mask(d: int) -> np.uint64:
-        return np.uint64((1 << 8 * (d + 1)) - 1)
+class Levels:
+    """Context-tree weighting over contexts of `low` to `high` bytes, from ascending keys of high + 1 bytes and their counts.
+
+    `split` has, for each bit and key, what the nodes one byte deeper add to log P_w; None at the full depth.
+    """
 
-    def _groups(self, d: int, bit: int):
+    def __init__(self, low: int, high: int, keys: np.ndarray, counts: np.ndarray, split: np.ndarray | None = None):
+        self.low, self.high = low, high
+        levels = [(keys, counts)]
+        for d in range(high - 1, low - 1, -1):
+            levels.append(merge([levels[-1][0] & _mask(d)], [levels[-1][1]]))
+        levels.reverse()
+        self.keys = [k for k, _ in levels]
+        self.total = [np.concatenate([[0], np.cumsum(c)]) for _, c in levels]
+        self.below = [np.searchsorted(self.keys[i], self.keys[i + 1] & _mask(low + i)).astype(np.int32) for i in range(high - low)]
+        self.weights = [np.ones((8, k.size), np.float32) for k in self.keys]
+        self.whole = np.zeros((8, self.keys[0].size))  # log P_w of each node of `low` bytes, at its first key
+        for bit in range(8 if keys.size else 0):
+            inner = split[bit] if split is not None else None
+            for i in range(high - low, -1, -1):
+                first, group, zeros, ones = self._groups(i, bit)
+                whole = log_kt(zeros, ones)
+                if inner is not None:
+                    own = whole - math.log(2)
+                    whole = np.logaddexp(own, np.add.reduceat(inner, first) - math.log(2))
+                    self.weights[i][bit] = np.exp(own - whole)[group]
+                if i:
+                    inner = np.bincount(self.below[i - 1][first], weights=whole, minlength=self.keys[i - 1].size)
+            self.whole[bit, first] = whole
+
+    def _groups(self, i: int, bit: int):
         """(first entry of each node at this bit, group of each entry, zeros, ones)."""
-        k = self.keys[d] >> np.uint64(8 - bit)
-        first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-        group = np.cumsum(np.concatenate([[0], (k[1:] != k[:-1]).astype(np.int32)]), dtype=np.int32)
-        c = np.diff(self.total[d])
-        one = (self.keys[d] >> np.uint64(7 - bit)) & np.uint64(1)
+        k = self.keys[i] >> np.uint64(8 - bit)
+        new = k[1:] != k[:-1]
+        first = np.flatnonzero(np.concatenate([[True], new]))
+        group = np.cumsum(np.concatenate([[0], new.astype(np.int32)]), dtype=np.int32)
+        c = np.diff(self.total[i])
+        one = (self.keys[i] >> np.uint64(7 - bit)) & np.uint64(1)
         ones = np.add.reduceat(np.where(one == 1, c, 0), first)
         return first, group, np.add.reduceat(c, first) - ones, ones
 
-    def _weigh(self, d: int, bit: int, deeper: tuple | None) -> tuple:
-        """Posterior weights of depth d, from (first entries, log P_w, counts) of the nodes one byte deeper; returns the same of this depth."""
-        first, group, zeros, ones = self._groups(d, bit)
-        own = log_kt(zeros, ones)
-        if d == self.depth:
-            return first, own, zeros + ones
-        split, seen = np.zeros(first.size), np.zeros(first.size)
-        if deeper is not None:
-            to = group[self.below[d][deeper[0]]]
-            split, seen = np.bincount(to, weights=deeper[1], minlength=first.size), np.bincount(to, weights=deeper[2], minlength=first.size)
-        # what was seen here but is not kept one byte deeper: coin tosses
-        split += (zeros + ones - seen) * math.log(0.5)
-        whole = np.logaddexp(own, split) - math.log(2)
-        self.weights[d][bit] = np.exp(own - math.log(2) - whole)[group]
-        return first, whole, zeros + ones
-
-    def _settle(self) -> None:
-        """log10 of the mixed probability of each longest string's last byte."""
-        result = np.zeros(self.keys[self.depth].size)
-        for bit in range(8):
-            mixed = left = None
-            for d in range(self.depth + 1):
-                if not self.keys[d].size:
-                    continue
-                _, group, zeros, ones = self._groups(d, bit)
-                one = ((self.keys[d] >> np.uint64(7 - bit)) & np.uint64(1)) == 1
+    def raised(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(keys, counts, split) of the contexts one byte shorter than `low`."""
+        short = self.keys[0] & _mask(self.low - 1)
+        keys, counts = merge([short], [np.diff(self.total[0])])
+        at = np.searchsorted(keys, short)
+        return keys, counts, np.stack([np.bincount(at, weights=w, minlength=keys.size) for w in self.whole])
+
+    def mix(self, above: Levels | None) -> None:
+        """Probability mixed so far of the last byte's bits, and the weight left to longer contexts, for each key of high + 1 bytes."""
+        n = self.keys[-1].size
+        self.mixed, self.left = np.zeros((8, n), np.float32), np.zeros((8, n), np.float32)
+        at = np.searchsorted(above.keys[-1], self.keys[0] & _mask(above.high)) if above else None
+        for bit in range(8 if n else 0):
+            mixed, left = (above.mixed[bit, at].astype(float), above.left[bit, at].astype(float)) if above else (np.zeros(self.keys[0].size), np.ones(self.keys[0].size))
+            for i in range(len(self.keys)):
+                if i:
+                    mixed, left = mixed[self.below[i - 1]], left[self.below[i - 1]]
+                _, group, zeros, ones = self._groups(i, bit)
+                one = ((self.keys[i] >> np.uint64(7 - bit)) & np.uint64(1)) == 1
                 p = (np.where(one, ones[group], zeros[group]) + 0.5) / (zeros + ones + 1)[group]
-                w = self.weights[d][bit] if d < self.depth else 1.0
-                if mixed is None:
-                    mixed, left = w * p, 1.0 - w
-                else:
-                    mixed, left = mixed[self.below[d - 1]], left[self.below[d - 1]]
-                    mixed, left = mixed + left * w * p, left * (1.0 - w)
-            if mixed is not None and mixed.size == result.size:
-                result += np.log10(mixed)
-        self.log10 = result.astype(np.float32)
-
-    def unseen(self, strings: np.ndarray) -> np.ndarray:
-        """log10 probability of the last byte of any strings of depth + 1 bytes."""
-        result = np.zeros(strings.size)
-        for bit in range(8):
-            mixed, left = np.zeros(strings.size), np.ones(strings.size)
-            live = np.arange(strings.size)
-            for d in range(self.depth + 1):
-                k, total = self.keys[d], self.total[d]
-                s = strings[live] & self._mask(d)
-                span = np.uint64((1 << (8 - bit)) - 1)
-                low = s & ~span
-                lo, hi = np.searchsorted(k, low), np.searchsorted(k, low | span, side="right")
-                there = hi > lo
-                mixed[live[~there]] += 0.5 * left[live[~there]]
-                left[live[~there]] = 0.0
-                live, s, lo, hi, low = live[there], s[there], lo[there], hi[there], low[there]
-                if not live.size:
-                    break
-                half = np.searchsorted(k, low | np.uint64(1 << (7 - bit)))
-                one = ((s >> np.uint64(7 - bit)) & np.uint64(1)) == 1
-                n = total[hi] - total[lo]
-                p = (np.where(one, total[hi] - total[half], total[half] - total[lo]) + 0.5) / (n + 1)
-                w = self.weights[d][bit][lo].astype(float) if d < self.depth else 1.0
-                mixed[live] += left[live] * w * p
-                left[live] *= 1.0 - w
-            result += np.log10(mixed)
-        return result
+                w = self.weights[i][bit].astype(float)
+                mixed, left = mixed + left * w * p, left * (1.0 - w)
+            self.mixed[bit], self.left[bit] = mixed, left
+
+    def log10(self) -> np.ndarray:
+        """log10 probability of the last byte of each key of the full depth, after mix()."""
+        return np.log10(self.mixed.astype(float)).sum(axis=0).astype(np.float32)
+
+
+def unseen(levels: list[Levels], strings: np.ndarray) -> np.ndarray:
+    """log10 probability of the last byte of any strings of depth + 1 bytes, by levels of contexts from 0 bytes to the full depth."""
+    tree = [(x.low + i, k, x.total[i], x.weights[i]) for x in levels for i, k in enumerate(x.keys)]
+    result = np.zeros(strings.size)
+    for bit in range(8):
+        mixed, left = np.zeros(strings.size), np.ones(strings.size)
+        live = np.arange(strings.size)
+        for d, k, total, weights in tree:
+            s = strings[live] & _mask(d)
+            span = np.uint64((1 << (8 - bit)) - 1)
+            low = s & ~span
+            lo, hi = np.searchsorted(k, low), np.searchsorted(k, low | span, side="right")
+            there = hi > lo
+            mixed[live[~there]] += 0.5 * left[live[~there]]
+            left[live[~there]] = 0.0
+            live, s, lo, hi, low = live[there], s[there], lo[there], hi[there], low[there]
+            if not live.size:
+                break
+            half = np.searchsorted(k, low | np.uint64(1 << (7 - bit)))
+            one = ((s >> np.uint64(7 - bit)) & np.uint64(1)) == 1
+            n = total[hi] - total[lo]
+            p = (np.where(one, total[hi] - total[half], total[half] - total[lo]) + 0.5) / (n + 1)
+            w = weights[bit][lo].astype(float)
+            mixed[live] += left[live] * w * p
+            left[live] *= 1.0 - w
+        result += np.log10(mixed)
+    return result
 
 
 class Hashed:
@@ -344,21 +349,50 @@ class Hashed:
         return out
 
 
-def fit_tree(counted: DataFrame, depth: int, strings: int, parts: int) -> Tree:
-    """The tree from reduced string counts of depth + 1 bytes, at most `strings` of them at each depth."""
-    kept, rest = [], counted
-    for d in range(depth, -1, -1):
-        keys, counts, least = most_frequent(rest, strings)
-        kept.append((keys, counts))
-        if d:
-            rest = stored(reduced(shortened(rest, least, d, parts)), "shorter")
-    kept.reverse()
-    levels = [None] * (depth + 1)
-    levels[depth] = kept[depth]
-    for d in range(depth - 1, -1, -1):
-        up, c = levels[d + 1]
-        levels[d] = merge([up & Tree._mask(d), kept[d][0]], [c, kept[d][1]])
-    return Tree(levels)
+def _gathered(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    return merge(
+        [_unpack(x) for x in t.column("keys").to_pylist() if x is not None], [_open(x, np.int64) for x in t.column("counts").to_pylist() if x is not None]
+    )
+
+
+def fit_upper(counted: DataFrame, depth: int) -> Levels | None:
+    """The levels of contexts shorter than CUT bytes, from reduced string counts; None without strings, or where `depth` is 0."""
+    cut = min(CUT, depth)
+    if not cut:
+        return None
+
+    def run(t: pa.Table) -> pa.Table:
+        keys, counts, split = Levels(cut, depth, *_gathered(t)).raised()
+        return pa.table({"part": pa.array([t.column("part")[0].as_py()], pa.int32()), "keys": pa.array([_pack(keys)], pa.binary()), "counts": pa.array([_press(counts)], pa.binary()), "split": pa.array([_press(split)], pa.binary())})
+
+    rows = sorted(counted.select("part", "keys", "counts").groupBy("part").applyInArrow(run, "part int, keys binary, counts binary, split binary").collect(), key=lambda r: r["part"])
+    if not rows:
+        return None
+    found = [_unpack(r["keys"]) for r in rows]
+    keys, counts = merge(found, [_open(r["counts"], np.int64) for r in rows])
+    split = np.zeros((8, keys.size))
+    for k, r in zip(found, rows, strict=True):
+        split[:, np.searchsorted(keys, k)] += _open(r["split"], np.float64).reshape(8, -1)
+    upper = Levels(0, cut - 1, keys, counts, split)
+    upper.mix(None)
+    del upper.whole
+    return upper
+
+
+def frequent_values(counted: DataFrame, depth: int, strings: int, upper) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, log10 probabilities) of the most frequent strings, `strings` at most; `upper` is broadcast."""
+    least = least_power(counted, strings)
+
+    def run(t: pa.Table) -> pa.Table:
+        keys, counts = _gathered(t)
+        local = Levels(min(CUT, depth), depth, keys, counts)
+        local.mix(upper.value)
+        often = np.frexp(counts)[1] - 1 >= least
+        return pa.table({"keys": pa.array([_pack(keys[often])], pa.binary()), "values": pa.array([_press(local.log10()[often])], pa.binary())})
+
+    rows = counted.select("part", "keys", "counts").groupBy("part").applyInArrow(run, "keys binary, values binary").collect() if least < 64 else []
+    keys = np.concatenate([_unpack(r["keys"]) for r in rows] or [np.zeros(0, np.uint64)])
+    return keys, np.concatenate([_open(r["values"], np.float32) for r in rows] or [np.zeros(0, np.float32)])
 
 
 def score(docs: DataFrame, train: Column, depth: int = 5, strings: int = 2_000_000, words: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -377,18 +411,19 @@ def score(docs: DataFrame, train: Column, depth: int = 5, strings: int = 2_000_0
     counted_words = counted.where("kind = 'w'")
     tokens = n_words + n_rows
     kinds = (counted_words.agg(F.sum("n")).first()[0] or 0) + (n_rows > 0)
-    tree = fit_tree(counted.where("kind = 's'"), depth, strings, parts)
-    heavy_keys, heavy_counts, _ = most_frequent(counted_words, words, lowest=2)
+    counted_strings = counted.where("kind = 's'")
+    upper = spark.sparkContext.broadcast(fit_upper(counted_strings, depth))
+    heavy_keys, heavy_counts = most_frequent(counted_words, words, lowest=2)
     below = tokens + 0.1 * (kinds + 1)
     values = np.log10((heavy_counts + 0.1) / below)
     end_value = math.log10((n_rows + 0.1) / below)
-    held = spark.sparkContext.broadcast((tree, heavy_keys, values))
-    del tree, heavy_keys, values, heavy_counts
+    held = spark.sparkContext.broadcast((*frequent_values(counted_strings, depth, strings, upper), heavy_keys, values))
+    del heavy_keys, values, heavy_counts
     tidy()
 
     def run(batches):
-        tree, keys, values = held.value
-        table = Hashed(tree.keys[depth], tree.log10)
+        string_keys, string_values, keys, values = held.value
+        table = Hashed(string_keys, string_values)
         uid = itertools.count(TaskContext.get().partitionId() << 40)
         for b in batches:
             for s in slices(b, "text"):
@@ -396,12 +431,13 @@ def score(docs: DataFrame, train: Column, depth: int = 5, strings: int = 2_000_0
                 n = s.num_rows
                 ids = np.fromiter(itertools.islice(uid, n), np.int64, n)
                 total = np.zeros(n)
+                looked_up, whose_string = [], []
                 for k, doc in strings_of(raw, off, depth):
                     got = table.get(k).astype(float)
                     missing = np.isnan(got)
-                    if missing.any():
-                        new, index = np.unique(k[missing], return_inverse=True)
-                        got[missing] = tree.unseen(new)[index]
+                    looked_up.append(k[missing])
+                    whose_string.append(ids[doc[missing]])
+                    got[missing] = 0.0
                     total += np.bincount(doc, weights=got, minlength=n)
                 h, counts = word_hashes(raw, off)
                 doc = np.repeat(np.arange(n), counts)
@@ -411,47 +447,74 @@ def score(docs: DataFrame, train: Column, depth: int = 5, strings: int = 2_000_0
                 known = np.bincount(doc[found], minlength=n) + (n_rows > 0)
                 none = pa.nulls(n, pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [s.column(0), pa.array(ids), pa.array(counts + 1), pa.array(known.astype(np.int64)), pa.array(base), pa.array(total), pa.array(np.diff(off)), pa.nulls(n, pa.int32()), none, none],
+                    [s.column(0), pa.array(ids), pa.array(counts + 1), pa.array(known.astype(np.int64)), pa.array(base), pa.array(total), pa.array(np.diff(off)), pa.nulls(n, pa.string()), pa.nulls(n, pa.int32()), none, none],
                     names=_names(id_col),
                 )
-                rare, whose = h[~found], ids[doc[~found]]
-                part = (mix64(rare) % np.uint64(parts)).astype(np.int64)
-                order = np.argsort(part, kind="stable")
-                cuts = np.searchsorted(part[order], np.arange(parts + 1))
-                out = [(p, rare[order[cuts[p] : cuts[p + 1]]].tobytes(), whose[order[cuts[p] : cuts[p + 1]]].tobytes()) for p in range(parts) if cuts[p] < cuts[p + 1]]
-                if out:
-                    m = len(out)
-                    cols = list(zip(*out, strict=True))
-                    nulls = [pa.nulls(m, s.schema.field(0).type)] + [pa.nulls(m, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())]
-                    yield pa.RecordBatch.from_arrays([*nulls, pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], names=_names(id_col))
-
-    schema = f"`{id_col}` {id_type}, uid long, n_tokens long, n_known long, base double, score double, n_bytes long, part int, rare binary, whose binary"
+                rare, rest = h[~found], np.concatenate(looked_up or [np.zeros(0, np.uint64)])
+                for kind, q, whose, part in (
+                    ("w", rare, ids[doc[~found]], (mix64(rare) % np.uint64(parts)).astype(np.int64)),
+                    ("s", rest, np.concatenate(whose_string or [np.zeros(0, np.int64)]), placed(rest, depth, parts)),
+                ):
+                    order = np.argsort(part, kind="stable")
+                    cuts = np.searchsorted(part[order], np.arange(parts + 1))
+                    out = [(kind, p, q[order[cuts[p] : cuts[p + 1]]].tobytes(), _press(whose[order[cuts[p] : cuts[p + 1]]])) for p in range(parts) if cuts[p] < cuts[p + 1]]
+                    if out:
+                        m = len(out)
+                        cols = list(zip(*out, strict=True))
+                        nulls = [pa.nulls(m, s.schema.field(0).type)] + [pa.nulls(m, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())]
+                        yield pa.RecordBatch.from_arrays([*nulls, pa.array(cols[0]), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary())], names=_names(id_col))
+
+    schema = f"`{id_col}` {id_type}, uid long, n_tokens long, n_known long, base double, score double, n_bytes long, kind string, part int, rare binary, whose binary"
     scored = stored(docs.select(F.col(id_col), F.col(text_col).alias("text")).mapInArrow(run, schema), "scored")
 
+    def asked(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        rare = [np.frombuffer(x, np.uint64) for x in t.column("rare").to_pylist() if x is not None]
+        whose = [_open(x, np.int64) for x in t.column("whose").to_pylist() if x is not None]
+        return np.concatenate(rare or [np.zeros(0, np.uint64)]), np.concatenate(whose or [np.zeros(0, np.int64)])
+
     def look_up(t: pa.Table) -> pa.Table:
-        keys, counts = merge(
-            [_unpack(x) for x in t.column("keys").to_pylist() if x is not None], [_open(x, np.int64) for x in t.column("counts").to_pylist() if x is not None]
-        )
-        h = np.concatenate([np.frombuffer(x, np.uint64) for x in t.column("rare").to_pylist() if x is not None] or [np.zeros(0, np.uint64)])
-        who = np.concatenate([np.frombuffer(x, np.int64) for x in t.column("whose").to_pylist() if x is not None] or [np.zeros(0, np.int64)])
+        h, who = asked(t)
+        keys, counts = _gathered(t)
         at = np.minimum(np.searchsorted(keys, h), max(keys.size - 1, 0))
         c = np.where(keys[at] == h, counts[at], 0) if keys.size else np.zeros(h.size, np.int64)
         return pa.table({"uid": pa.array(who), "n": pa.array(c)})
 
-    rare = scored.where("part is not null").select("part", F.lit(None).cast("binary").alias("keys"), F.lit(None).cast("binary").alias("counts"), "rare", "whose")
-    known = counted_words.select("part", "keys", "counts", F.lit(None).cast("binary").alias("rare"), F.lit(None).cast("binary").alias("whose"))
-    more = rare.unionByName(known).groupBy("part").applyInArrow(look_up, "uid long, n long")
+    def look_up_strings(t: pa.Table) -> pa.Table:
+        q, who = asked(t)
+        if not q.size:
+            return pa.table({"uid": pa.array(who), "more_score": pa.array([], pa.float64())})
+        local = Levels(min(CUT, depth), depth, *_gathered(t))
+        local.mix(upper.value)
+        keys = local.keys[-1]
+        new, index = np.unique(q, return_inverse=True)
+        at = np.minimum(np.searchsorted(keys, new), max(keys.size - 1, 0))
+        known = keys[at] == new if keys.size else np.zeros(new.size, bool)
+        got = np.zeros(new.size)
+        got[known] = local.log10()[at[known]]
+        got[~known] = unseen([upper.value, local] if upper.value else [local], new[~known])
+        order = np.lexsort((index, who))  # sums that do not depend on the order of the rows
+        uid, back = np.unique(who[order], return_inverse=True)
+        return pa.table({"uid": pa.array(uid), "more_score": pa.array(np.bincount(back, weights=got[index[order]]))})
+
+    def beside(kind: str, known: DataFrame) -> DataFrame:
+        """What documents ask of this kind, and the counts, by part."""
+        none = F.lit(None).cast("binary")
+        mine = scored.where(F.col("kind") == kind).select("part", none.alias("keys"), none.alias("counts"), "rare", "whose")
+        return mine.unionByName(known.select("part", "keys", "counts", none.alias("rare"), none.alias("whose"))).groupBy("part")
+
     value = F.log10((F.col("n") + 0.1) / F.lit(below))
-    more = more.groupBy("uid").agg(F.sum((F.col("n") > 0).cast("long")).alias("more_known"), F.sum(value).alias("more_base"))
+    by_word = beside("w", counted_words).applyInArrow(look_up, "uid long, n long").groupBy("uid").agg(F.sum((F.col("n") > 0).cast("long")).alias("more_known"), F.sum(value).alias("more_base"))
+    by_string = beside("s", counted_strings).applyInArrow(look_up_strings, "uid long, more_score double").groupBy("uid").agg(F.sum("more_score").alias("more_score"))
     rows = scored.where("part is null").select(id_col, "uid", "n_tokens", "n_known", "base", "score", "n_bytes")
-    return rows.join(more, "uid", "left").select(
+    return rows.join(by_word, "uid", "left").join(by_string, "uid", "left").select(
         id_col, "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"), "score", "n_bytes",
+        (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"),
+        (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"), "n_bytes",
     )
 
 
 def _names(id_col: str) -> list[str]:
-    return [id_col, "uid", "n_tokens", "n_known", "base", "score", "n_bytes", "part", "rare", "whose"]
+    return [id_col, "uid", "n_tokens", "n_known", "base", "score", "n_bytes", "kind", "part", "rare", "whose"]
 
 
 def trained_on(id_col: str = "doc_id", m: int = 10) -> Column:

@@ -276,6 +276,20 @@ def test_lm_against_brute_force(spark):
     assert -1e6 < small[0] <= small[1] < 0
 
 
+@pytest.mark.parametrize("depth", [0, 2, 5])
+def test_lm_bound_keeps_scores(spark, depth):
+    docs = table(spark, made_texts(12, seed=9)[:20] + ["", None, "é", "unseen zq", "rare qzj words"])
+
+    def scores(strings):
+        return {r.doc_id: r.score for r in lm_scoring.score(docs, lm_scoring.trained_on(), depth=depth, strings=strings).collect()}
+
+    want = scores(10**6)
+    for strings in (0, 40):
+        assert scores(strings) == pytest.approx(want, rel=1e-5)
+    # without training rows every byte and the end are coin tosses
+    assert lm_scoring.score(docs, F.lit(False), depth=depth).where("n_bytes = 0").select("score").first()[0] == pytest.approx(8 * math.log10(0.5))
+
+
 def test_urls(spark):
     rules = [url_filters.rule("block", "net/"), url_filters.rule("allow", "example.net/en/"), url_filters.rule("block", "example.com/de/"), url_filters.rule("allow", "org/fr/"), url_filters.rule("block", "b.example.net/")]
     urls = [
