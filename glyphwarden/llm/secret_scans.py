@@ -2,8 +2,10 @@
 
 The patterns give spans of the kinds assign, access and hex.  The token-efficiency
 test gives spans of the kind token: runs of key characters that a public byte-pair
-vocabulary can only spell in very short tokens are random strings.  Runs that are
-known digests (plain hex), UUIDs, or lie within a span of a pattern are left out.
+vocabulary can only spell in very short tokens are random strings.  Where a run as a whole
+is not, the stretches of WINDOW characters or more in it that are spelled so by themselves
+are, whatever surrounds them.  Runs and parts of runs that are known digests (plain hex) or
+UUIDs, and runs that touch a span of a pattern, are left out.
 Offsets are code points; ends are exclusive.
 
 Special cases: a null text is the empty text and has no spans; repeated rows are
@@ -15,6 +17,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import itertools
 import re
 
 import pyarrow as pa
@@ -35,6 +38,9 @@ _KEYWORDS = ("passw", "secret", "token", "key")
 _LONG_HEX = re.compile(r"[0-9a-f]{32,}")
 _RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 _UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
+_KNOWN = re.compile(rf"(?<![A-Za-z0-9])(?:{_UUID.pattern}|[0-9a-f]{{20,}}|[0-9A-F]{{20,}})(?![A-Za-z0-9])")
+#: Least characters of a stretch within a run, and of a token that readable text has at its edge.
+WINDOW, READABLE = 20, 4
 _DIGEST = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)(?![\s\S])")
 
 
@@ -76,15 +82,52 @@ def known(run: str) -> bool:
     return bool(_DIGEST.match(run) or _UUID.fullmatch(run))
 
 
+def mixed_kinds(run: str) -> bool:
+    """Digits, and letters of either case."""
+    return any(c.isdigit() for c in run) and any(c.isalpha() for c in run)
+
+
+def stretches(run: str, ratio: float, path: str | None, step: int = 256) -> list[tuple[int, int]]:
+    """(start, end) of the parts of a run where windows of whole tokens, WINDOW characters or more, stay below the ratio; readable tokens at their edges are cut off."""
+    enc = vocabulary(path)
+    sizes = [len(enc.decode_single_token_bytes(t)) for i in range(0, len(run), step) for t in enc.encode_ordinary(run[i : i + step])]
+    ends = list(itertools.accumulate(sizes))
+    found: list[list[int]] = []  # first token, one past the last token
+    last = 0
+    for first in range(len(sizes)):
+        start = ends[first] - sizes[first]
+        while last < len(sizes) and ends[last] - start < WINDOW:
+            last += 1
+        if last == len(sizes):
+            break
+        if ends[last] - start < ratio * (last + 1 - first) and mixed_kinds(run[start : ends[last]]):
+            if found and first < found[-1][1]:
+                found[-1][1] = last + 1
+            else:
+                found.append([first, last + 1])
+    out = []
+    for first, stop in found:
+        while stop - first > 1 and sizes[first] >= READABLE:
+            first += 1
+        while stop - first > 1 and sizes[stop - 1] >= READABLE:
+            stop -= 1
+        out.append((ends[first] - sizes[first], ends[stop - 1]))
+    return out
+
+
 def token_spans(text: str, base: list[tuple[int, int, str]], ratio: float, path: str | None) -> list[tuple[int, int, str]]:
     found = []
     for m in _RUN.finditer(text):
         run = m[0]
-        kinds = (any(c.isdigit() for c in run), any(c.islower() for c in run), any(c.isupper() for c in run))
-        if sum(kinds) < 2 or not kinds[0] or known(run) or any(s < m.end() and m.start() < e for s, e, _ in base):
+        if not mixed_kinds(run) or known(run) or any(s < m.end() and m.start() < e for s, e, _ in base):
             continue
         if chars_per_token(run, path) < ratio:
             found.append((m.start(), m.end(), "token"))
+            continue
+        cuts = [0, *(x for k in _KNOWN.finditer(run) for x in k.span()), len(run)]
+        for lo, hi in zip(cuts[::2], cuts[1::2], strict=True):
+            if hi - lo >= WINDOW:
+                found += [(m.start() + lo + s, m.start() + lo + e, "token") for s, e in stretches(run[lo:hi], ratio, path)]
     return found
 
 

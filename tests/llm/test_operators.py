@@ -320,6 +320,23 @@ def test_secrets(spark):
     assert clean[5] == texts[5] and clean[6] is None and digest not in clean[2] and key not in clean[4]
 
 
+@pytest.mark.parametrize("before", ["", "com/services/hooks/incoming/", "session-cookie-value=", "production_database_connection_"])
+def test_secret_behind_readable_text(before):
+    rng = np.random.default_rng(5)
+    signs = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+    keys = ["".join(rng.choice(signs, 24)) for _ in range(300)]
+    missed = 0
+    for key in keys:
+        text = f"see {before}{key} here"
+        # a character or two at the edges may make a longer token with the text around
+        missed += key[4:-4] in secret_scans.redact_text(text, secret_scans.all_spans(text, 1.9, None)[1])
+    assert missed <= 3
+    clean = f"see {before}123e4567-e89b-12d3-a456-426614174000/production_database_connection_2 here"
+    assert secret_scans.stretches("com/services/hooks/incoming/production_database_connection_2", 1.9, None) == []
+    if before:
+        assert secret_scans.all_spans(clean, 1.9, None)[1] == []
+
+
 def toy(spark, n=400):
     rng = np.random.default_rng(11)
     rows, labels = [], []
