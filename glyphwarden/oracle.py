@@ -64,6 +64,10 @@ def _payload(kind: int, prefix: str, suffix: str, per_byte: int) -> str:
     return f"SELECT doc_id, {said} AS payload, CAST(length({said}) AS INTEGER) AS byte_length, CAST({per_byte} * length({said}) AS INTEGER) AS n_carriers FROM documents WHERE doc_id % 8 = {kind}"
 
 
+def _payload_all(kind: int, prefix: str, suffix: str, per_byte: int) -> str:
+    return f"SELECT doc_id, payload, byte_length, n_carriers FROM documents LEFT JOIN ({_payload(kind, prefix, suffix, per_byte)}) USING (doc_id)"
+
+
 _STRIPPED = "regexp_replace(text, '[\\x{AD}\\x{200B}-\\x{200F}\\x{202A}-\\x{202E}\\x{E0000}-\\x{E007F}\\x{E0100}-\\x{E01EF}]', '', 'g')"
 _GAPS = f"""WITH {_HITS}, gap AS (SELECT doc_id, "offset" - lag("offset") OVER (PARTITION BY doc_id ORDER BY "offset") AS g FROM hits)"""
 _LANG_SCORE = {
@@ -78,6 +82,8 @@ l AS (SELECT d.doc_id, d.lang, CASE WHEN s1 >= 0.08 THEN code ELSE 'unknown' END
 
 ORACLE_SQL = {
     "payload_tag_decode": _payload(0, "WF-", "", 1), "payload_vs_decode": _payload(1, "id:", "", 1), "payload_zwb_decode": _payload(2, "key ", "x", 8),
+    "payload_tag_decode_all": _payload_all(0, "WF-", "", 1), "payload_vs_decode_all": _payload_all(1, "id:", "", 1), "payload_zwb_decode_all": _payload_all(2, "key ", "x", 8),
+    "trace_leak_all": "SELECT doc_id, payload, recipient FROM documents, (VALUES ('ann#1', 'ann'), ('bob#2', 'bob'), ('cho#3', 'cho')) r(payload, recipient)",
     "invisible_char_scan": f"""WITH {_HITS} SELECT doc_id, "offset", codepoint, category, name FROM hits""",
     "char_context": f"""WITH {_HITS} SELECT h.doc_id, "offset", replace({_STRIPPED.replace('text', "(substr(c.text, greatest(" + '"offset"' + " - 24, 0) + 1, " + '"offset"' + " - greatest(" + '"offset"' + " - 24, 0)) || '‸' || substr(c.text, " + '"offset"' + " + 2, 24))", 1)}, chr(10), ' ') AS context FROM hits h JOIN carried c USING (doc_id) WHERE category = 'zero_width'""",
     "invisible_by_name": f"""WITH {_HITS}, e AS (SELECT doc_id, 'U+' || CASE WHEN length(hex(codepoint)) < 4 THEN lpad(hex(codepoint), 4, '0') ELSE hex(codepoint) END || ' ' || name AS label, count(*) AS n FROM hits GROUP BY ALL)

@@ -101,6 +101,16 @@ def payload_decode(kind: int, decode):
     return run
 
 
+def payload_decode_all(decode):
+    """Every document, whatever it carries; nulls where this decoder finds nothing."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        p = carried(spark, d).select("doc_id", decode(F.col("text")).alias("p"))
+        return p.select("doc_id", F.col("p.text").alias("payload"), F.col("p.byte_length").alias("byte_length"), F.col("p.n_carriers").alias("n_carriers"))
+
+    return run
+
+
 def q_char_scan(s, d):
     return scan.char_hits(carried(s, d)).select("doc_id", "offset", "codepoint", "category", "name")
 
@@ -174,6 +184,11 @@ def q_trace(s, d):
     return marking.trace(leaked, m.select("payload", "recipient")).select("doc_id", "payload", "recipient")
 
 
+def q_trace_all(s, d):
+    m = marking.mark_copies(docs(s, d), RECIPIENTS, "{recipient}#{index}")
+    return marking.trace(m.select("doc_id", "text"), m.select("payload", "recipient")).select("doc_id", "payload", "recipient")
+
+
 def q_signals(s, d):
     # not explode(): for it Spark infers a filter on the whole signals expression and pushes that below every step
     x = signals.signals(carried(s, d)).select("doc_id", F.explode_outer("signals").alias("g")).select("doc_id", "g.*")
@@ -463,6 +478,7 @@ def q_cv(s, d):
 
 QUERIES = {
     "payload_tag_decode": payload_decode(0, payloads.decode_tag), "payload_vs_decode": payload_decode(1, payloads.decode_selectors), "payload_zwb_decode": payload_decode(2, payloads.decode_zero_width),
+    "payload_tag_decode_all": payload_decode_all(payloads.decode_tag), "payload_vs_decode_all": payload_decode_all(payloads.decode_selectors), "payload_zwb_decode_all": payload_decode_all(payloads.decode_zero_width), "trace_leak_all": q_trace_all,
     "invisible_char_scan": q_char_scan, "char_context": q_char_context, "invisible_by_name": q_hits_by_name, "hit_gap_regularity": q_gap_regularity,
     "homoglyph_hits": q_homoglyphs, "homoglyph_words": q_homoglyph_words, "script_profile": q_script_profile, "strip_invisible": q_strip_invisible,
     "normalize_whitespace": q_normalize, "nfc_clean": q_clean, "sanitize_safe": q_sanitize("safe"), "sanitize_aggressive": q_sanitize("aggressive"),

@@ -84,3 +84,17 @@ def test_sentences_and_windows():
     assert spans.windows("") == []
     with pytest.raises(ValueError):
         spans.windows(text, 10, 10)
+
+
+@pytest.mark.parametrize("name", ["payload_tag_decode_all", "payload_vs_decode_all", "payload_zwb_decode_all", "trace_leak_all"])
+def test_decoders_on_every_document(spark, name):
+    duckdb = pytest.importorskip("duckdb")
+    from glyphwarden.oracle import ORACLE_SQL
+    from glyphwarden.queries import QUERIES
+
+    d = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{d}/documents.parquet'")
+    want = con.execute(ORACLE_SQL[name]).fetchall()
+    assert sorted(map(repr, map(tuple, QUERIES[name](spark, d).collect()))) == sorted(map(repr, want))
+    assert len({r[0] for r in want}) == con.execute("SELECT count(*) FROM documents").fetchone()[0]
