@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, per_class: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, dict[int, int]]:
-    """((label, h, text) of at most `per_class` usable rows of each label, the rows of each label that there are).
+    """((label, h, text) of at most `per_class` usable ids of each label, the ids of each label that there are).
 
-    Rows are those of least id hash, so the choice does not depend on partitions.  Null ids and
+    Ids are those of least hash, so the choice does not depend on partitions; of an id that
+    repeats the least text is taken, so the sample is bounded by rows as well.  Null ids and
     labels are left out.  `usable` is a condition on the id column of `labels`.
     """
-    known = labels.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("y")).where(usable & F.col("id").isNotNull() & F.col("y").isin(0, 1))
+    known = labels.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("y")).where(usable & F.col("id").isNotNull() & F.col("y").isin(0, 1)).distinct()
     sizes = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     h = F.xxhash64("id")
     chosen = None
@@ -22,8 +23,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, per_c
         part = known.where(F.col("y") == y).select("id", "y", h.alias("h")).orderBy("h", "id").limit(per_class)
         chosen = part if chosen is None else chosen.unionByName(part)
     # 2 * per_class rows of three numbers: a bounded side
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
-    return texts.select("y", "h", F.coalesce("text", F.lit("")).alias("text")), sizes
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "id")
+    return texts.groupBy("id", "y", "h").agg(F.min("text").alias("text")).select("y", "h", "text"), sizes
 
 
 class WordCache:

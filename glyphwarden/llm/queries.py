@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontamination, lm_scoring, ngram_jaccard, packing, quality, secret_scans, token_output, topk_search, toxicity, url_filters
-from .shared import crc_remainder, shared_dir, table
+from .shared import crc_remainder, new_folder, table
 
 RULES = [
     url_filters.rule("block", "net/"),
@@ -38,7 +36,7 @@ def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = f"{shared_dir(spark).rstrip('/')}/glyphwarden-tokens-{uuid.uuid4().hex}"
+    out = new_folder(spark, "tokens")
     token_output.write_tokens(table(spark, sf_dir, "documents"), out)
     return token_output.read_tokens(spark, out).drop("ids")
 

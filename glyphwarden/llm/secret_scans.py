@@ -1,14 +1,17 @@
 """Secret scans (operator 10): fixed patterns, and random strings by token efficiency.
 
 The patterns give spans of the kinds assign, access and hex.  The token-efficiency
-test gives spans of the kind token: runs of key characters that a public byte-pair
-vocabulary can only spell in very short tokens are random strings.  Where a run as a whole
-is not, the stretches of WINDOW characters or more in it that are spelled so by themselves
-are, whatever surrounds them.  Runs and parts of runs that are known digests (plain hex) or
-UUIDs, and runs that touch a span of a pattern, are left out.
+test gives spans of the kind token: stretches of key characters that a public byte-pair
+vocabulary can only spell in very short tokens are random strings.  Every run of
+LEAST_RUN key characters or more is tested, whatever its letters: without those parts that lie in
+spans of a pattern, are digests (plain hex of a digest's length), UUIDs or numbers without
+letters.  A part of WINDOW characters, or of LEAST_RUN with both digits and letters, is a span if
+it has fewer than `ratio` characters a token as a whole; else the stretches of WINDOW characters or
+more in it that are spelled so by themselves are, whatever surrounds them.
 Offsets are code points; ends are exclusive.
 
-Special cases: a null text is the empty text and has no spans; repeated rows are
+Special cases: a null text is the empty text and has no spans; texts and runs of any length are
+read whole (runs are tokenized in steps of 256 characters); repeated rows are
 scanned one by one; an empty table gives an empty result.
 """
 
@@ -36,12 +39,13 @@ KINDS = ("assign", "access", "hex", "token")
 
 _KEYWORDS = ("passw", "secret", "token", "key")
 _LONG_HEX = re.compile(r"[0-9a-f]{32,}")
-_RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-_UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
-_KNOWN = re.compile(rf"(?<![A-Za-z0-9])(?:{_UUID.pattern}|[0-9a-f]{{20,}}|[0-9A-F]{{20,}})(?![A-Za-z0-9])")
-#: Least characters of a stretch within a run, and of a token that readable text has at its edge.
-WINDOW, READABLE = 20, 4
-_DIGEST = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)(?![\s\S])")
+_RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+_UUID = r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}"
+#: Lengths of plain hex that are digests or object ids.
+DIGESTS = (128, 96, 64, 56, 40, 32, 24)
+_KNOWN = re.compile(rf"(?<![A-Za-z0-9])(?:{_UUID}|{'|'.join(f'[0-9a-f]{{{n}}}|[0-9A-F]{{{n}}}' for n in DIGESTS)})(?![A-Za-z0-9])")
+#: Least characters of a part with digits and letters, of any other and of a stretch within one, and of a token that readable text has at its edge.
+LEAST_RUN, WINDOW, READABLE = 16, 20, 4
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -77,14 +81,19 @@ def chars_per_token(run: str, path: str | None = None, step: int = 256) -> float
     return len(run) / sum(len(enc.encode_ordinary(run[i : i + step])) for i in range(0, len(run), step))
 
 
-def known(run: str) -> bool:
-    """A plain digest or an identifier of a public form."""
-    return bool(_DIGEST.match(run) or _UUID.fullmatch(run))
+def enough(part: str) -> bool:
+    """Whether a part is long enough for the test, and no mere number."""
+    return any(c.isalpha() for c in part) and (len(part) >= WINDOW or (len(part) >= LEAST_RUN and any(c.isdigit() for c in part)))
 
 
-def mixed_kinds(run: str) -> bool:
-    """Digits, and letters of either case."""
-    return any(c.isdigit() for c in run) and any(c.isalpha() for c in run)
+def without(lo: int, hi: int, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What is left of lo .. hi outside the spans, which ascend by start."""
+    out = []
+    for s, e in spans:
+        if lo < s < hi:
+            out.append((lo, s))
+        lo = max(lo, e)
+    return [*out, (lo, hi)] if lo < hi else out
 
 
 def stretches(run: str, ratio: float, path: str | None, step: int = 256) -> list[tuple[int, int]]:
@@ -100,7 +109,7 @@ def stretches(run: str, ratio: float, path: str | None, step: int = 256) -> list
             last += 1
         if last == len(sizes):
             break
-        if ends[last] - start < ratio * (last + 1 - first) and mixed_kinds(run[start : ends[last]]):
+        if ends[last] - start < ratio * (last + 1 - first) and any(c.isalpha() for c in run[start : ends[last]]):
             if found and first < found[-1][1]:
                 found[-1][1] = last + 1
             else:
@@ -116,18 +125,17 @@ def stretches(run: str, ratio: float, path: str | None, step: int = 256) -> list
 
 
 def token_spans(text: str, base: list[tuple[int, int, str]], ratio: float, path: str | None) -> list[tuple[int, int, str]]:
-    found = []
+    found, taken = [], [(s, e) for s, e, _ in base]
     for m in _RUN.finditer(text):
-        run = m[0]
-        if not mixed_kinds(run) or known(run) or any(s < m.end() and m.start() < e for s, e, _ in base):
-            continue
-        if chars_per_token(run, path) < ratio:
-            found.append((m.start(), m.end(), "token"))
-            continue
-        cuts = [0, *(x for k in _KNOWN.finditer(run) for x in k.span()), len(run)]
-        for lo, hi in zip(cuts[::2], cuts[1::2], strict=True):
-            if hi - lo >= WINDOW:
-                found += [(m.start() + lo + s, m.start() + lo + e, "token") for s, e in stretches(run[lo:hi], ratio, path)]
+        excluded = taken + [k.span() for k in _KNOWN.finditer(text, m.start(), m.end())]
+        for lo, hi in without(m.start(), m.end(), sorted(x for x in excluded if x[0] < m.end() and m.start() < x[1])):
+            part = text[lo:hi]
+            if not enough(part):
+                continue
+            if chars_per_token(part, path) < ratio:
+                found.append((lo, hi, "token"))
+            elif len(part) >= WINDOW:
+                found += [(lo + s, lo + e, "token") for s, e in stretches(part, ratio, path)]
     return found
 
 

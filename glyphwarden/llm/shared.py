@@ -30,17 +30,35 @@ def crc_remainder(c: Column, m: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see; one of our own only where the session names none."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
+    """The folder that all executors see; one of our own only where the session names none and runs on one machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return "file:///tmp/checkpoints"
+
+
+def new_folder(spark: SparkSession, label: str) -> str:
+    """A path in the shared folder, deleted when the interpreter ends."""
+    path = f"{shared_dir(spark)}/glyphwarden-{label}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/glyphwarden-{label}-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, label)
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def n_groups(df: DataFrame, each: int = 16_000_000, most: int = 50_000) -> int:
+    """Into how many groups to deal what comes of df: as many as the session shuffles into, and more where
+    the size that the optimizer knows of its inputs asks for it, so that a group does not grow with the input."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    known = min(-(-size // each), most) if size < 1 << 60 else 0  # a plan without known inputs
+    return max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), known)
 
 
 def few(df: DataFrame, rows: int) -> DataFrame:

@@ -9,7 +9,8 @@ Every document is its own zstandard frame; document k of a block is
 payload[ends[k-1]:ends[k]], so a short document is read without its neighbours.
 
 Special cases: a null text is the empty text and has the end id alone; null ids come
-first; repeated rows are written one by one; an empty table gives no blocks.
+first; rows that repeat an id are written one by one, by the hash of their
+texts; texts of any length are read whole; an empty table gives no blocks.
 """
 
 from __future__ import annotations
@@ -38,15 +39,13 @@ def train_dictionary(docs: DataFrame, id_col: str, text_col: str, tokenizer: str
     `longest` characters (short documents are what a dictionary helps).  b"" where the sample is too small to train on."""
     import zstandard
 
-    rows = (
-        docs.where(F.length(text_col) <= longest)
-        .select(F.xxhash64(id_col).alias("h"), F.col(text_col).alias("t"))
-        .orderBy("h", "t")
-        .limit(sample_docs)
-        .collect()
-    )
+    key = [F.xxhash64(id_col).alias("h"), F.xxhash64(text_col).alias("t")]
+    short = docs.where(F.length(text_col) <= longest).select(*key, F.col(text_col).alias("text"))
+    # numbers first: only texts that are chosen travel, once each
+    chosen = short.select("h", "t").distinct().orderBy("h", "t").limit(sample_docs)
+    rows = short.join(F.broadcast(chosen), ["h", "t"]).groupBy("h", "t").agg(F.min("text").alias("text")).orderBy("h", "t").collect()
     end, width = np.array([end_id], "<u4").tobytes(), id_width(tokenizer, path)
-    arrays = [_narrow(ids + end, width) for ids in encoder(path, tokenizer, "word").encode([r["t"] for r in rows])]
+    arrays = [_narrow(ids + end, width) for ids in encoder(path, tokenizer, "word").encode([r["text"] for r in rows])]
     try:
         return zstandard.train_dictionary(size, arrays).as_bytes() if len(arrays) >= 16 else b""
     except zstandard.ZstdError:  # too little text
@@ -108,7 +107,8 @@ def write_tokens(docs: DataFrame, out: str, id_col: str = "doc_id", text_col: st
             yield block()
         tidy()
 
-    ordered = chosen.repartitionByRange("id").sortWithinPartitions("id")
+    # the hash of a text orders rows that repeat an id, and lets them fall into many parts
+    ordered = chosen.withColumn("h", F.xxhash64("text")).repartitionByRange("id", "h").sortWithinPartitions("id", "h").drop("h")
     ordered.mapInArrow(run, BLOCK_SCHEMA).write.option("compression", "uncompressed").parquet(f"{out}/blocks")
 
 

@@ -1,26 +1,28 @@
 """Toxicity (operator 2): nearest labelled examples by exact TF-IDF cosine.
 
-Terms are whole words and the 5-character pieces of padded words, lower-cased.  From a
-bounded sample of labelled rows (`per_class` of each label; near copies in it count once)
-the terms that go with either label by a chi-square test, at odds of `least_odds`, are chosen; examples and
-documents are TF-IDF vectors over them.  The examples stand in an inverted index with the
-greatest impact of each term in each block of examples; a search opens blocks in the order
-of their bounds and stops when no closed block can hold a nearer example, so the k nearest
-are exact (equal ones by their order in the index).  Their votes, weighted by similarity
-and by the share of their label, are calibrated by isotonic regression on the examples'
-own votes, each without itself.  Evidence is the nearest examples' hashes and similarities.
-
-Special cases: a text without chosen terms (null and empty ones too) gets the share of
-label 1 among examples without them; with no labelled rows every score is 0; repeated rows
-are scored one by one; an empty table gives an empty result.
+Terms are the words of whole texts (digits, letters and all beyond ASCII; A-Z as a-z), by
+their 64-bit hashes.  The examples are a bounded sample of labelled rows (`per_class` of each
+label; those with the same set of terms and label count once).  Every term of every example is in the
+vocabulary; none is chosen or left out.  A text's vector has (1 + log times) * idf * told for
+each of its terms in the vocabulary: idf by the rows of all documents that have the term, and told =
+`floor` + the size of the correlation of the term with the label among the examples, so
+that words which say nothing about the label turn the direction of a vector less, though all do.
+
+The examples stand in an inverted index with block maxima (blockmax.py); a document's `k`
+nearest are exact, with cosines rounded to 9 decimals and equal ones in index order.  Their
+votes, weighted by cosine and by the share of their label, are calibrated by isotonic
+regression on the examples' own votes, each without itself.  Evidence is the nearest
+examples' ids (hashes), labels and cosines.
+
+Special cases: a text without known terms (null and empty ones too) gets the share of label
+1; with no labelled rows every score is 0; repeated rows are scored one by one, and one text
+of a repeated id is learned from; null ids and labels are not learned from; texts of any length
+are read whole; columns of the names given by `out` are replaced; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
-import math
-import re
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -29,198 +31,164 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
 from . import labelled
-from .shared import crc_remainder, slices, stored, tidy
-
-_WORD = re.compile(r"[^\W_]+")
-BLOCK = 64
+from .blockmax import Index, k_best
+from .shared import crc_remainder, slices, stored, tidy, utf8_column
+from .wordhash import SIGNS, term_counts
 
+DIGITS = 9
 
-def terms(chunk: str) -> list[str]:
-    """Terms of one blank-separated, lower-cased chunk of text."""
-    out = []
-    for w in _WORD.findall(chunk):
-        padded = f"^{w}$"
-        out.append(padded)
-        out += {padded[i : i + 5] for i in range(len(padded) - 4)} - {padded}
-    return out
 
-
-def near_copy_mark(words: list[str]) -> int:
-    """The least hash of five-word shingles: near copies mostly share it."""
-    return min((xxhash.xxh3_64_intdigest(" ".join(words[i : i + 5])) for i in range(max(1, len(words) - 4))), default=0)
+def correlation(with_term: np.ndarray, toxic_with_term: np.ndarray, n: int, n_toxic: int) -> np.ndarray:
+    """Pearson's correlation of two indicators, from 0 to 1 without its sign; 0 where one of them is constant."""
+    d, b = with_term.astype(float), toxic_with_term.astype(float)
+    spread = d * (n - d) * n_toxic * (n - n_toxic)
+    return np.abs(n * b - d * n_toxic) / np.sqrt(np.where(spread > 0, spread, np.inf))
 
 
 class Model:
-    """Chosen terms, their weights, the examples and the calibration."""
+    """The vocabulary with its weights, the examples' index and the calibration.
+
+    `begins`, `place`, `times` are the examples' terms as places in `vocabulary`; df has the rows of all documents with each term.
+    """
 
-    def __init__(self, vocabulary: dict[str, int], idf: np.ndarray, examples: list[dict[int, int]], y: np.ndarray, names: list[int], share: dict[int, float], k: int):
-        self.vocabulary, self.idf, self.k = vocabulary, idf, k
-        self.y, self.names = y.astype(float), names
+    def __init__(self, vocabulary: np.ndarray, df: np.ndarray, n_docs: int, begins: np.ndarray, place: np.ndarray, times: np.ndarray, y: np.ndarray, names: np.ndarray, share: dict[int, float], k: int, floor: float):
+        self.vocabulary, self.k, self.y, self.names = vocabulary, k, y.astype(float), names
+        n = y.size
+        who = np.repeat(np.arange(n), np.diff(begins))
+        told = floor + correlation(np.bincount(place, minlength=vocabulary.size), np.bincount(place, weights=self.y[who], minlength=vocabulary.size), n, int(y.sum()))
+        self.value = (np.log((1 + n_docs) / (1 + df)) + 1) * told
         self.weight = np.where(y == 1, share.get(1, 0.0), share.get(0, 0.0))
-        self.n_blocks = max(1, -(-len(examples) // BLOCK))
-        who, term, impact = [], [], []
-        for i, counts in enumerate(examples):
-            for t, v in zip(*self.vector(counts), strict=True):
-                who.append(i)
-                term.append(t)
-                impact.append(v)
-        who, term, impact = np.array(who, np.int32), np.array(term, np.int32), np.array(impact, np.float64)
-        order = np.lexsort((who, term))
-        self.who, self.impact = who[order], impact[order]
-        keys = term[order].astype(np.int64) * self.n_blocks + self.who // BLOCK
-        self.cuts = np.searchsorted(keys, np.arange(len(vocabulary) * self.n_blocks + 1))  # postings by term and block
-        self.most = np.zeros((len(vocabulary), self.n_blocks))
-        np.maximum.at(self.most, (term[order], self.who // BLOCK), self.impact)
-        bare = np.array([not e for e in examples], bool)
-        total = self.weight[bare].sum()
-        self.bare = float((self.weight * self.y)[bare].sum() / total) if total else float(share.get(1, 0) and (self.weight * self.y).sum() / self.weight.sum())
-        self.memo: dict = {}
-        self.steps, self.values = np.zeros(1), np.zeros(1)
-        self._calibrate(examples)
-
-    def vector(self, counts: dict[int, int]) -> tuple[list[int], np.ndarray]:
-        ids = sorted(counts)
-        v = np.array([1 + math.log(counts[t]) for t in ids]) * self.idf[ids] if ids else np.zeros(0)
-        norm = math.sqrt(float((v * v).sum()))
-        return ids, v / norm if norm else v
-
-    def nearest(self, counts: dict[int, int], k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(examples, cosines) of the k nearest, nearest first, equal ones in index order; cosine above 0."""
-        ids, q = self.vector(counts)
-        bounds = np.round(q @ self.most[ids] + 1e-9, 9) if ids else np.zeros(0)
-        found_who, found_sim, least = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for b in np.argsort(-bounds, kind="stable"):
-            # blocks of equal bounds come in index order, so an equal score further on is no nearer
-            if bounds[b] <= 2e-9 or bounds[b] < least or (bounds[b] <= least + 2e-9 and b * BLOCK > found_who.max()):
-                break
-            scores = np.zeros(BLOCK)
-            for t, v in zip(ids, q, strict=True):
-                lo, hi = self.cuts[t * self.n_blocks + b], self.cuts[t * self.n_blocks + b + 1]
-                scores[self.who[lo:hi] % BLOCK] += v * self.impact[lo:hi]
-            here = np.flatnonzero(scores > 0)
-            found_who = np.concatenate([found_who, here + b * BLOCK])
-            found_sim = np.round(np.concatenate([found_sim, scores[here]]), 9)
-            if found_who.size > k:
-                order = np.lexsort((found_who, -found_sim))[:k]
-                found_who, found_sim = found_who[order], found_sim[order]
-                least = found_sim[-1]
-        order = np.lexsort((found_who, -found_sim))[:k]
-        return found_who[order], found_sim[order]
-
-    def vote(self, who: np.ndarray, sim: np.ndarray) -> float:
+        self.base = float((self.weight * self.y).sum() / self.weight.sum()) if n else 0.0
+        impact = self.vectors(begins, place, times)
+        order = np.argsort(place, kind="stable")
+        self.index = Index(n, np.concatenate([[0], np.cumsum(np.bincount(place, minlength=vocabulary.size))]), who[order].astype(np.int32), impact[order])
+        query, other, sim = self.nearest(begins, place, impact, k + 1)
+        away = query != other  # each without itself
+        query, other, sim = query[away], other[away], sim[away]
+        first = np.searchsorted(query, np.arange(n))
+        keep = np.arange(query.size) - first[query] < k
+        raw, seen = self.votes(query[keep], other[keep], sim[keep], n)
+        self.steps, self.values = isotonic(raw[seen], self.y[seen], self.weight[seen])
+
+    def known(self, terms: np.ndarray, row: np.ndarray, times: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(begins, places, times) of those of the terms of n rows that the vocabulary has."""
+        at = np.minimum(np.searchsorted(self.vocabulary, terms), max(self.vocabulary.size - 1, 0))
+        here = self.vocabulary[at] == terms if self.vocabulary.size else np.zeros(terms.size, bool)
+        return np.searchsorted(row[here], np.arange(n + 1)), at[here], times[here]
+
+    def vectors(self, begins: np.ndarray, place: np.ndarray, times: np.ndarray) -> np.ndarray:
+        """The values of the vectors, each of length 1."""
+        v = (1 + np.log(times)) * self.value[place]
+        size = np.diff(begins)
+        squares = np.concatenate([[0.0], np.cumsum(v * v)])
+        return v / np.sqrt(np.maximum(np.repeat(squares[begins[1:]] - squares[begins[:-1]], size), 1e-300))
+
+    def nearest(self, begins: np.ndarray, place: np.ndarray, values: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, example, cosine) of the k nearest examples of each query, nearest first."""
+        return k_best(*self.index.best(begins, place, values, k, DIGITS), k, DIGITS)
+
+    def votes(self, query: np.ndarray, who: np.ndarray, sim: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(vote, whether there are neighbours) of n queries; half a neighbour's weight of the base share steadies few votes."""
         w = sim * self.weight[who]
-        # half a neighbour's weight of the share of texts without terms steadies few votes
-        return float(((w * self.y[who]).sum() + 0.5 * self.weight.mean() * self.bare) / (w.sum() + 0.5 * self.weight.mean())) if who.size else self.bare
-
-    def _calibrate(self, examples: list[dict[int, int]]) -> None:
-        raw, y, w, memo = [], [], [], {}
-        for i, counts in enumerate(examples):
-            if counts:
-                key = tuple(sorted(counts.items()))
-                if key not in memo:
-                    memo[key] = self.nearest(counts, self.k + 1)
-                who, sim = memo[key]
-                other = who != i
-                raw.append(self.vote(who[other][: self.k], sim[other][: self.k]))
-                y.append(self.y[i])
-                w.append(self.weight[i])
-        self.steps, self.values = isotonic(np.array(raw), np.array(y), np.array(w))
-
-    def score(self, counts: dict[int, int]) -> tuple[float, str]:
-        if not counts:
-            return self.bare, ""
-        key = tuple(sorted(counts.items()))
-        if key not in self.memo:
-            if len(self.memo) > 50_000:
-                self.memo.clear()
-            who, sim = self.nearest(counts, self.k)
-            raw = self.vote(who, sim)
-            s = float(np.interp(raw, self.steps, self.values)) if self.steps.size else raw
-            self.memo[key] = min(1.0, max(0.0, s)), " ".join(f"{self.names[i]}:{int(self.y[i])}:{v:.3f}" for i, v in zip(who[:3], sim[:3], strict=True))
-        return self.memo[key]
+        total, ones = np.bincount(query, weights=w, minlength=n), np.bincount(query, weights=w * self.y[who], minlength=n)
+        calm = 0.5 * self.weight.mean()
+        return (ones + calm * self.base) / (total + calm), np.bincount(query, minlength=n) > 0
+
+    def score(self, terms: np.ndarray, row: np.ndarray, times: np.ndarray, n: int) -> tuple[np.ndarray, list[str]]:
+        """(score, evidence) of n rows from their terms, rows ascending."""
+        begins, place, times = self.known(terms, row, times, n)
+        query, who, sim = self.nearest(begins, place, self.vectors(begins, place, times), self.k)
+        raw, seen = self.votes(query, who, sim, n)
+        out = np.where(seen, np.clip(np.interp(raw, self.steps, self.values) if self.steps.size else raw, 0.0, 1.0), self.base)
+        first = np.searchsorted(query, np.arange(n + 1))
+        three = [range(a, min(a + 3, b)) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+        return out, [" ".join(f"{self.names[who[i]]}:{int(self.y[who[i]])}:{sim[i]:.3f}" for i in r) for r in three]
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pool-adjacent-violators: (points, values) of the weighted non-decreasing fit, each pool moved by a pseudo-count to the middle."""
-    blocks: list[list[float]] = []  # [sum of w*y, sum of w, first x, last x, rows]
+    blocks: list[list[float]] = []  # [sum of w*y, sum of w, first x, last x]
     unit = float(w.mean()) if w.size else 1.0
     for i in np.lexsort((y, x)):
         if blocks and blocks[-1][3] == x[i]:
-            blocks[-1] = [blocks[-1][0] + w[i] * y[i], blocks[-1][1] + w[i], blocks[-1][2], x[i], blocks[-1][4] + 1]
+            blocks[-1] = [blocks[-1][0] + w[i] * y[i], blocks[-1][1] + w[i], blocks[-1][2], x[i]]
         else:
-            blocks.append([w[i] * y[i], w[i], x[i], x[i], 1])
+            blocks.append([w[i] * y[i], w[i], x[i], x[i]])
         while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
             b = blocks.pop()
             a = blocks[-1]
-            blocks[-1] = [a[0] + b[0], a[1] + b[1], a[2], b[3], a[4] + b[4]]
+            blocks[-1] = [a[0] + b[0], a[1] + b[1], a[2], b[3]]
     points, values = [], []
-    for s, total, lo, hi, _ in blocks:
+    for s, total, lo, hi in blocks:
         v = (s + 0.25 * unit) / (total + 0.5 * unit)
         points += [lo, hi]
         values += [v, v]
     return np.array(points), np.maximum.accumulate(np.array(values)) if values else np.array(values)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str, usable: Column, per_class: int = 3000, least_chi: float = 20.0, least_odds: float = 9.0, most_terms: int = 4096, k: int = 15) -> Model | None:
-    """The model of a bounded sample; None without labelled rows."""
-    texts, sizes = labelled.sample(docs, labels, label, usable, per_class)
-    if not sizes:
-        return None
+def example_terms(texts: DataFrame) -> DataFrame:
+    """texts(y, h, text) -> (y, h, mark of the set of terms, terms, times)."""
 
-    def count(batches):
-        """Terms of each example: (y, h, mark, terms, counts)."""
+    def run(batches):
         for b in batches:
             for s in slices(b, "text"):
-                out = []
-                for y, h, text in zip(*(c.to_pylist() for c in s.columns), strict=True):
-                    words = text.lower().split()
-                    c = Counter(t for w, n in Counter(words).items() for t in terms(w) * n)
-                    out.append((y, h, near_copy_mark(words).to_bytes(8, "big"), list(c), list(c.values())))
-                kinds = [pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.int32())]
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["y", "h", "mark", "terms", "counts"])
-
-    counted = stored(texts.mapInArrow(count, "y int, h long, mark binary, terms array<string>, counts array<int>"), "examples")
-    # one example of each group of near copies, so that a text copied often does not choose the terms
-    first = counted.groupBy("mark", "y").agg(F.min("h").alias("h"))
-    single = counted.join(F.broadcast(first), ["mark", "y", "h"], "left_semi")
-    n = {r["y"]: r["n"] for r in single.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    n0, n1 = n.get(0, 0), n.get(1, 0)
-
-    def tally(batches):
-        """Examples with each term, of label 1 and in all, by task."""
-        ones, every = Counter(), Counter()
-        for b in batches:
-            for y, found in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                every.update(found)
-                if y:
-                    ones.update(found)
-        yield pa.RecordBatch.from_arrays([pa.array(every, pa.string()), pa.array([ones[t] for t in every], pa.int64()), pa.array(every.values(), pa.int64())], names=["t", "b", "d"])
-
-    df = single.select("y", "terms").mapInArrow(tally, "t string, b long, d long").groupBy("t").agg(F.sum("b").alias("b"), F.sum("d").alias("d")).where("d >= 3")
-    a, b, total = F.col("d") - F.col("b"), F.col("b"), n0 + n1
-    det = a * (n1 - b) - b * (n0 - a)
-    chi = F.lit(float(total)) * det * det / (F.lit(float(max(n0, 1))) * max(n1, 1) * F.col("d") * F.greatest(F.lit(total) - F.col("d"), F.lit(0.5)))
-    # a term must speak for one label, not merely be commoner with it, as words of one language are
-    r1, r0 = (b + 0.5) / max(n1, 1), (a + 0.5) / max(n0, 1)
-    telling = (r1 >= least_odds * r0) | (r0 >= least_odds * r1)
-    chosen = df.withColumn("chi", chi).where((F.col("chi") >= least_chi) & telling).orderBy(F.desc("chi"), "t").limit(most_terms).collect()
-    vocabulary = {r["t"]: i for i, r in enumerate(chosen)}
-    idf = np.array([math.log((1 + total) / (1 + r["d"])) + 1 for r in chosen])
-
-    def choose(batches):
+                t, row, times, _ = term_counts(*utf8_column(s.column(2)), SIGNS)
+                cuts = np.searchsorted(row, np.arange(s.num_rows + 1))
+                sets = [t[lo:hi].tobytes() for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
+                each = [times[lo:hi].astype(np.int32).tobytes() for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([s.column(0), s.column(1), pa.array([xxhash.xxh3_128_digest(x) for x in sets], pa.binary()), pa.array(sets, pa.binary()), pa.array(each, pa.binary())], names=["y", "h", "mark", "terms", "times"])
+
+    return texts.mapInArrow(run, "y int, h long, mark binary, terms binary, times binary")
+
+
+def rows_with(docs: DataFrame, vocabulary: np.ndarray, pieces: int = 64) -> tuple[np.ndarray, int]:
+    """How many rows of docs(text) have each term of a bounded vocabulary, and how many rows there are; summed by task, then by piece of the vocabulary."""
+    held = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    cuts = np.linspace(0, vocabulary.size, pieces + 1).astype(int)
+
+    def count(batches):
+        names = held.value
+        n, total = 0, np.zeros(names.size, np.int64)
         for b in batches:
-            out = []
-            for found, counts in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                out.append(sorted((vocabulary[t], n) for t, n in zip(found, counts, strict=True) if t in vocabulary))
-            lists = [[[p[k] for p in v] for v in out] for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(v, pa.list_(pa.int32())) for v in lists)], names=["y", "h", "ids", "n"])
-
-    kept = single.select("y", "h", "terms", "counts").mapInArrow(choose, "y int, h long, ids array<int>, n array<int>").collect()
-    kept.sort(key=lambda r: (r["ids"], r["n"], r["h"]))  # alike examples share blocks, which makes the bounds tight
-    examples = [dict(zip(r["ids"], r["n"], strict=True)) for r in kept]
+            for s in slices(b, "text"):
+                t = term_counts(*utf8_column(s.column(0)), SIGNS)[0]
+                at = np.minimum(np.searchsorted(names, t), max(names.size - 1, 0))
+                if names.size:
+                    total += np.bincount(at[names[at] == t], minlength=names.size)
+                n += s.num_rows
+        yield pa.RecordBatch.from_arrays([pa.array(range(pieces), pa.int32()), pa.array([total[lo:hi].tobytes() for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()), pa.array([n] * pieces, pa.int64())], names=["piece", "counts", "n"])
+        tidy()
+
+    def add(t: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x, np.int64) for x in t.column("counts").to_pylist())
+        return pa.table({"piece": t.column("piece").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary()), "n": pa.array([sum(t.column("n").to_pylist())], pa.int64())})
+
+    rows = docs.mapInArrow(count, "piece int, counts binary, n long").groupBy("piece").applyInArrow(add, "piece int, counts binary, n long").collect()
+    rows.sort(key=lambda r: r["piece"])
+    held.unpersist()
+    return np.concatenate([np.frombuffer(r["counts"], np.int64) for r in rows] or [np.zeros(vocabulary.size, np.int64)]), rows[0]["n"] if rows else 0
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str, usable: Column, per_class: int = 3000, k: int = 15, floor: float = 0.02, id_col: str = "doc_id", text_col: str = "text") -> Model | None:
+    """The model of a bounded sample of labelled rows and the statistics of all documents; None without labelled rows."""
+    texts, sizes = labelled.sample(docs, labels, label, usable, per_class, id_col, text_col)
+    if not sizes:
+        return None
+    found = stored(example_terms(texts), "examples")
+    # a text copied often counts once: the one of least hash
+    first = found.groupBy("mark", "y").agg(F.min("h").alias("h"))
+    kept = found.join(F.broadcast(first), ["mark", "y", "h"], "left_semi").collect()  # at most 2 * per_class rows
+    if not kept:
+        return None
+    kept.sort(key=lambda r: (r["y"], r["h"], r["mark"]))
+    terms = [np.frombuffer(r["terms"], np.uint64) for r in kept]
+    times = np.concatenate([np.frombuffer(r["times"], np.int32) for r in kept])
+    vocabulary, place = np.unique(np.concatenate(terms), return_inverse=True)
+    begins = np.concatenate([[0], np.cumsum([t.size for t in terms])])
     y = np.array([r["y"] for r in kept])
-    share = {v: sizes.get(v, 0) / max(n.get(v, 0), 1) for v in (0, 1)}
-    return Model(vocabulary, idf, examples, y, [r["h"] for r in kept], share, k)
+    df, n_docs = rows_with(docs.select(F.col(text_col).alias("text")), vocabulary)
+    share = {v: sizes.get(v, 0) / max(int((y == v).sum()), 1) for v in (0, 1)}
+    return Model(vocabulary, df, n_docs, begins, place, times, y, np.array([r["h"] for r in kept]), share, k, floor)
 
 
 def score(docs: DataFrame, model: Model | None, text_col: str = "text", out: tuple[str, str] = ("score", "evidence")) -> DataFrame:
@@ -231,19 +199,11 @@ def score(docs: DataFrame, model: Model | None, text_col: str = "text", out: tup
 
     def run(batches):
         m = held.value
-        cache = labelled.WordCache(lambda w: tuple(m.vocabulary[t] for t in terms(w) if t in m.vocabulary)) if m else None
         for b in batches:
-            for s in slices(b, text_col):
-                got = []
-                for text in s.column(at).to_pylist():
-                    if m is None:
-                        got.append((0.0, ""))
-                        continue
-                    c = Counter(t for ts in cache.of((text or "").lower().split()) if ts for t in ts)
-                    got.append(m.score(c))
-                yield pa.RecordBatch.from_arrays([*s.columns, pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.string())], names=[*s.schema.names, *out])
-        if cache:
-            cache.young, cache.old = {}, {}
+            for s in slices(b, text_col, 1_000_000):
+                t, row, times, _ = term_counts(*utf8_column(s.column(at)), SIGNS)
+                got, why = m.score(t, row, times, s.num_rows) if m else (np.zeros(s.num_rows), [""] * s.num_rows)
+                yield pa.RecordBatch.from_arrays([*s.columns, pa.array(got, pa.float64()), pa.array(why, pa.string())], names=[*s.schema.names, *out])
         tidy()
 
     schema = StructType([*kept.schema.fields]).add(out[0], DoubleType()).add(out[1], StringType())
@@ -255,7 +215,19 @@ def held_out(id_col: str = "doc_id", m: int = 3, r: int = 1) -> Column:
 
 
 def reject(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The same columns without the rows whose score reaches the threshold."""
-    model = fit(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), labels, "toxic", crc_remainder(F.col("id"), 3) != 1)
-    names = docs.columns
-    return score(docs, model, text_col, ("__score", "__evidence")).where(F.col("__score") < threshold).select(*(F.col(f"`{c}`") for c in names))
+    """The same columns and rows without those whose score reaches the threshold; rows without a text stay unless their label's share does."""
+    model = fit(docs, labels, "toxic", crc_remainder(F.col("id"), 3) != 1, id_col=id_col, text_col=text_col)
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        m = held.value
+        for b in batches:
+            for s in slices(b, text_col, 1_000_000):
+                if m:
+                    t, row, times, _ = term_counts(*utf8_column(s.column(at)), SIGNS)
+                    s = s.filter(pa.array(m.score(t, row, times, s.num_rows)[0] < threshold))
+                yield s
+        tidy()
+
+    return docs.mapInArrow(run, docs.schema)

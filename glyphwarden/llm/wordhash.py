@@ -103,7 +103,8 @@ def term_counts(raw: np.ndarray, offsets: np.ndarray, between: tuple[int, ...] =
     h, counts = word_hashes(raw, offsets, between)
     row = np.repeat(np.arange(counts.size), counts)
     order = np.argsort(h)
-    order = order[np.argsort(row[order], kind="stable")]
+    narrow = row.astype(np.uint16) if counts.size <= 1 << 16 else row  # sorted by counting, not by comparing
+    order = order[np.argsort(narrow[order], kind="stable")]
     h, row = h[order], row[order]
     first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (row[1:] != row[:-1])])) if h.size else np.zeros(0, np.int64)
     return h[first], row[first], np.diff(np.append(first, h.size)), counts
