@@ -1,9 +1,16 @@
-"""Sentences, paragraphs and overlapping windows: the sequential part, one Arrow UDF each."""
+"""Sentences, paragraphs and overlapping windows: the sequential part, over Arrow.
+
+Texts are cut at breaks; words are found once, and how many of them stand in a sentence, a
+paragraph or a window is a difference of two positions in their ascending starts.
+"""
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterable
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column
@@ -14,131 +21,127 @@ from . import codepoints as cp
 
 # Abbreviations that end no sentence.
 ABBREVIATIONS = frozenset("mr mrs ms dr prof st vs etc e.g i.e fig no approx np itp itd tzn tj ul godz mln mld ok".split())
-_END = re.compile(r"[.!?…]+[\"'”’)\]]*\s+|\n{2,}")
-_GAP = re.compile(r"\n\s*\n")
-_WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
+# What ends a sentence, what parts paragraphs, and a word.
+SENTENCE_END = r"[.!?…]+[\"'”’)\]]*\s+|\n{2,}"
+PARAGRAPH_GAP = r"\n\s*\n"
+WORD = r"[^\W\d_]+(?:['’-][^\W\d_]+)*"
+_END, _GAP, _WORD = re.compile(SENTENCE_END), re.compile(PARAGRAPH_GAP), re.compile(WORD)
+#: A listed abbreviation with its full stop, at the end of a few characters.
+_SHORT = re.compile(r"(?:\A|[\s(])(?:" + "|".join(sorted(map(re.escape, ABBREVIATIONS))) + r")\.*\Z", re.I)
+_REACH = 12
 # a schema object, not a string: workers import this module without a session
 SPAN = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("text", T.StringType()), T.StructField("n_words", T.IntegerType())]))
 
 
-def _abbreviated(text: str, stop: int) -> bool:
-    return re.split(r"[\s(]", text[max(0, stop - 11) : stop + 1].rstrip("."))[-1].lower() in ABBREVIATIONS
+def word_starts(text: str) -> list[int]:
+    return [m.start() for m in _WORD.finditer(text)]
 
 
-def _cut(text: str, breaks) -> list[tuple[int, int, str, int]]:
-    """Non-blank pieces between breaks (end of a piece, start of the next)."""
-    out, at = [], 0
-    for end, nxt in [*breaks, (len(text), len(text))]:
-        piece = text[at:end].strip()
-        if piece:
-            out.append((at, end, piece, len(_WORD.findall(piece))))
-        at = nxt
-    return out
+def filled(text: str, breaks: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The non-blank stretches between breaks, each given by where it starts and ends."""
+    edges = [(0, 0), *breaks, (len(text), len(text))]
+    return [(begin, end) for (_, begin), (end, _) in zip(edges, edges[1:], strict=False) if text[begin:end].strip()]
 
 
-def sentences(text: str) -> list[tuple[int, int, str, int]]:
-    found = (m for m in _END.finditer(text) if not (m[0].strip() and _abbreviated(text, m.start())))
-    return _cut(text, ((m.start() + len(m[0].rstrip()), m.end()) for m in found))
+def sentence_ranges(text: str) -> list[tuple[int, int]]:
+    def real(m: re.Match) -> bool:
+        return m[0].isspace() or not _SHORT.search(text[max(0, m.start() + 1 - _REACH) : m.start() + 1])
 
+    return filled(text, ((m.start() + len(m[0].rstrip()), m.end()) for m in _END.finditer(text) if real(m)))
+
+
+def paragraph_ranges(text: str) -> list[tuple[int, int]]:
+    return filled(text, (m.span() for m in _GAP.finditer(text)))
+
+
+def words_in(starts: list[int], ranges: list[tuple[int, int]]) -> list[int]:
+    """How many of the ascending starts lie in each range."""
+    return [bisect_left(starts, end) - bisect_left(starts, begin) for begin, end in ranges]
 
-def paragraphs(text: str) -> list[tuple[int, int, str, int]]:
-    return _cut(text, (m.span() for m in _GAP.finditer(text)))
 
+def window_ranges(counts: list[int], target: int, overlap: int, least: int = 25) -> list[tuple[int, int]]:
+    """(first sentence, one past the last) of windows over sentences with these numbers of words.
 
-def windows(text: str, target: int = 120, overlap: int = 30, least: int = 25) -> list[tuple[int, int, str, int]]:
-    """Runs of sentences of about `target` words that share about `overlap` words with the run before."""
+    A window is the fewest sentences with `target` words; the next one begins with the fewest last
+    sentences that have `overlap` words, but later than its predecessor.  A last window of
+    fewer than `least` words belongs to the one before.
+    """
     if overlap >= target:
         raise ValueError("overlap must be smaller than target")
-    found, out, first = sentences(text), [], 0
-
-    def span(start: int, end: int):
-        piece = text[start:end].strip()
-        return start, end, piece, len(_WORD.findall(piece))
-
-    while first < len(found):
-        n, last = 0, first
-        while last < len(found) and n < target:
-            n += found[last][3]
-            last += 1
-        out.append(span(found[first][0], found[last - 1][1]))
-        if last == len(found):
-            break
-        back, nxt = 0, last
-        while nxt - 1 > first and back < overlap:
-            nxt -= 1
-            back += found[nxt][3]
-        first = max(nxt, first + 1)
-    if len(out) > 1 and out[-1][3] < least:
-        tail = out.pop()
-        head = out.pop()
-        out.append(span(head[0], max(head[1], tail[1])))
+    before = [0, *accumulate(counts)]  # words before each sentence
+    n, out = len(counts), []
+    begin = end = 0
+    while end < n:
+        if out:
+            begin = max(begin + 1, bisect_right(before, before[end] - overlap, 0, end + 1) - 1)
+        end = min(n, bisect_left(before, before[begin] + target, begin + 1))
+        out.append((begin, end))
+    if len(out) > 1 and before[out[-1][1]] - before[out[-1][0]] < least:
+        out[-2:] = [(out[-2][0], n)]
     return out
 
 
-def bounded_windows(text: str, target: int, overlap: int, most: int) -> list[tuple[int, int, str, int]]:
-    """Windows, larger ones where there would be more than `most`."""
-    out = windows(text, target, overlap)
-    if len(out) > most:
-        wide = int(target * len(out) / most)
-        out = windows(text, wide + 1, min(overlap, wide // 2))[:most]
-    return out
+def bounded_ranges(text: str, starts: list[int], target: int, overlap: int, most: int, least: int = 25) -> list[tuple[int, int]]:
+    """Where the windows of a text start and end; with more than `most` of them they are cut larger in proportion."""
+    sentences = sentence_ranges(text)
+    counts = words_in(starts, sentences)
+    found = window_ranges(counts, target, overlap, least)
+    if len(found) > most:
+        wide = int(target * (len(found) / most))
+        found = window_ranges(counts, wide + 1, min(overlap, wide // 2), least)[:most]
+    return [(sentences[a][0], sentences[b - 1][1]) for a, b in found]
 
 
-PREPARED = T.StructType([T.StructField("normalized", T.StringType()), T.StructField("cleaned", T.StringType())])
-STUDIED = T.StructType([*PREPARED.fields, T.StructField("prose", T.StringType()), T.StructField("sentences", SPAN), T.StructField("paragraphs", SPAN)])
-PARTS = T.StructType([T.StructField("prose", T.StringType()), T.StructField("sentences", SPAN), T.StructField("paragraphs", SPAN)])
-_EXOTIC = re.compile("[" + "".join(map(chr, cp.EXOTIC_SPACE)) + "]")
-_INVISIBLE = re.compile("[" + "".join(map(chr, (*cp.ZERO_WIDTH, *cp.BIDI_CONTROL, *cp.FORMAT_CONTROL))) + "\uFE00-\uFE0F\U000E0100-\U000E01EF\U000E0000-\U000E007F]")
-_FENCE = re.compile(r"\s*(?:```|~~~)")
+def _rows(text: str, ranges: list[tuple[int, int]], starts: list[int] | None = None) -> list[tuple[int, int, str, int]]:
+    counts = words_in(word_starts(text) if starts is None else starts, ranges)
+    return [(a, b, text[a:b].strip(), n) for (a, b), n in zip(ranges, counts, strict=True)]
 
 
-def without_fences(text: str) -> str:
-    """Fenced blocks blanked, line by line; an open fence blanks the rest."""
-    if "```" not in text and "~~~" not in text:
-        return text
-    fenced, out = False, []
-    for line in text.split("\n"):
-        edge = bool(_FENCE.match(line))
-        out.append("" if fenced or edge else line)
-        fenced ^= edge
-    return "\n".join(out)
+def sentences(text: str) -> list[tuple[int, int, str, int]]:
+    return _rows(text, sentence_ranges(text))
 
 
-@F.pandas_udf(PREPARED)
-def _prepared(s: pd.Series) -> pd.DataFrame:
-    normal = s.map(lambda t: unicodedata.normalize("NFC", _EXOTIC.sub(" ", (t or "").replace("\r\n", "\n").replace("\r", "\n"))))
-    return pd.DataFrame({"normalized": normal, "cleaned": normal.map(lambda t: t if t.isascii() else _INVISIBLE.sub("", t))})
+def paragraphs(text: str) -> list[tuple[int, int, str, int]]:
+    return _rows(text, paragraph_ranges(text))
 
 
-@F.pandas_udf(STUDIED)
-def _studied(s: pd.Series) -> pd.DataFrame:
-    first = _prepared.func(s)
-    prose = first["cleaned"].map(without_fences)
-    return first.assign(prose=prose, sentences=prose.map(sentences), paragraphs=prose.map(paragraphs))
+def windows(text: str, target: int = 120, overlap: int = 30, most: int = 1 << 30) -> list[tuple[int, int, str, int]]:
+    starts = word_starts(text)
+    return _rows(text, bounded_ranges(text, starts, target, overlap, most), starts)
 
 
-def studied(c: Column) -> Column:
-    """struct<normalized,cleaned,prose,sentences,paragraphs>: all that Python does for an analysis, in one Arrow pass.
+_EXOTIC = re.compile("[" + "".join(map(chr, cp.EXOTIC_SPACE)) + "]")
+_INVISIBLE = re.compile("[" + "".join(map(chr, (*cp.ZERO_WIDTH, *cp.BIDI_CONTROL, *cp.FORMAT_CONTROL))) + "\uFE00-\uFE0F\U000E0100-\U000E01EF\U000E0000-\U000E007F]")
+_FENCE = re.compile(r"\s*(?:```|~~~)")
 
-    It belongs below every other step: Spark folds what lies under a Python function into it, copies and all.
-    """
-    return _studied(c)
 
+def normalized(text: str) -> str:
+    text = text.replace("\r\n", "\n").replace("\r", "\n")
+    return text if text.isascii() else unicodedata.normalize("NFC", _EXOTIC.sub(" ", text))
 
-@F.pandas_udf(PARTS)
-def _parts(s: pd.Series) -> pd.DataFrame:
-    prose = s.map(lambda t: without_fences(t or ""))
-    return pd.DataFrame({"prose": prose, "sentences": prose.map(sentences), "paragraphs": prose.map(paragraphs)})
+
+def visible(text: str) -> str:
+    return text if text.isascii() else _INVISIBLE.sub("", text)
+
+
+def without_fences(text: str) -> str:
+    """Fenced blocks blanked, line by line; an open fence blanks the rest."""
+    if "```" not in text and "~~~" not in text:
+        return text
+    lines = text.split("\n")
+    edges = [bool(_FENCE.match(line)) for line in lines]
+    # a line is prose when an even number of edges stands before it and it is none itself
+    return "\n".join(line if not edge and k % 2 == 0 else "" for line, edge, k in zip(lines, edges, accumulate(edges), strict=True))
 
 
-def prepared(c: Column) -> Column:
-    """struct<normalized,cleaned> of a text in one Arrow pass: plans that use both many times don't carry them as expressions."""
-    return _prepared(c)
+@F.pandas_udf(T.StringType())
+def _cleaned(s: pd.Series) -> pd.Series:
+    return s.map(lambda t: visible(normalized(t)), na_action="ignore")
 
 
-def parts(c: Column) -> Column:
-    """struct<prose,sentences,paragraphs> of a text in one Arrow pass."""
-    return _parts(c)
+def cleaned(c: Column) -> Column:
+    """Plain spaces and line ends, NFC, nothing invisible: what is measured of a text."""
+    return _cleaned(c)
 
 
 @F.pandas_udf(SPAN)
@@ -162,6 +165,6 @@ def paragraph_spans(c: Column) -> Column:
 def window_spans(c: Column, target: int = 120, overlap: int = 30, most: int = 300) -> Column:
     @F.pandas_udf(SPAN)
     def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: bounded_windows(t, target, overlap, most) if t else [])
+        return s.map(lambda t: windows(t, target, overlap, most) if t else [])
 
     return run(c)

@@ -1,4 +1,4 @@
-"""Language and the twenty measures of writing, as columns of one projection (no shuffle)."""
+"""Language, moving type share and n-grams as Column expressions; the twenty measures from one Arrow pass.  No shuffle."""
 
 from __future__ import annotations
 
@@ -6,15 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as lex
-from ..functions import spans
+from ..functions import study
 from ..functions.codepoints import WHITE_SET
-from ..functions.text import in_list, let, matches, occurrences, white_tokens, words
+from ..functions.text import in_list, let, matches, words
 
-FEATURES = (
-    "mean_sentence_length", "sentence_length_cv", "paragraph_length_cv", "mean_word_length", "long_word_ratio", "mattr", "hapax_ratio",
-    "discourse_marker_rate", "assistant_lexicon_rate", "hedge_rate", "contraction_rate", "personal_pronoun_rate", "em_dash_rate", "curly_quote_ratio",
-    "ellipsis_char_rate", "bullet_line_ratio", "sentence_start_repetition", "typo_indicator_rate", "comma_per_sentence", "exclamation_rate",
-)
+FEATURES = study.FEATURES
 WINDOW = 50
 #: Line ends as Python's splitlines() knows them.
 LINE_END = r"\r\n|[\n\x0B\x0C\r\x{1C}-\x{1E}\x{85}\x{2028}\x{2029}]"
@@ -48,21 +44,6 @@ def detect_language(docs: DataFrame, text: str = "text") -> DataFrame:
     return scored.withColumn("language", F.when(clear, best["code"]).otherwise("unknown")).withColumn("language_confidence", F.coalesce(confidence, F.lit(0.0))).drop("__tok", "__low", "__s")
 
 
-def _share(part: Column, whole: Column) -> Column:
-    return F.when(whole > 0, part / whole).otherwise(0.0)
-
-
-def variation(lengths: Column) -> Column:
-    """pstdev/mean of the positive lengths, 0 below two of them."""
-    def of(used: Column) -> Column:
-        n = F.size(used)
-        mean = F.aggregate(used, F.lit(0.0), lambda a, x: a + x) / n
-        spread = let(mean, lambda m: F.sqrt(F.aggregate(used, F.lit(0.0), lambda a, x: a + (x - m) * (x - m)) / n) / m)
-        return F.when(n >= 2, spread).otherwise(0.0)
-
-    return let(F.transform(F.filter(lengths, lambda n: n > 0), lambda n: n.cast("double")), of)
-
-
 def moving_types(tokens: Column, window: int = WINDOW) -> Column:
     """Mean share of distinct words over windows a fifth apart; of the whole below one window."""
     n = F.size(tokens)
@@ -72,25 +53,8 @@ def moving_types(tokens: Column, window: int = WINDOW) -> Column:
     return F.when(n == 0, 0.0).when(n <= window, F.size(F.array_distinct(tokens)) / n).otherwise(mean)
 
 
-def once_only(ordered: Column) -> Column:
-    """How many words of a sorted array stand there once."""
-    n = F.size(ordered)
-    return F.size(F.filter(F.sequence(F.lit(0), n - 1), lambda i: (n > 0) & ((i == 0) | (F.get(ordered, i - 1) != F.get(ordered, i))) & ((i == n - 1) | (F.get(ordered, i + 1) != F.get(ordered, i)))))
-
-
-def _listed(tokens: Column, lowered: Column, entries: list[str]) -> Column:
-    hits = in_list(tokens, lex.singles(entries)) if lex.singles(entries) else F.lit(0)
-    for p in lex.phrases(entries):
-        hits = hits + occurrences(lowered, p)
-    return hits
-
-
-def _by_language(language: Column, tokens: Column, lowered: Column, table: dict[str, list[str]]) -> Column:
-    """Hits in the list of the language, English where it has none."""
-    return F.when(language == "pl", _listed(tokens, lowered, table["pl"])).otherwise(_listed(tokens, lowered, table["en"]))
-
-
 def typo_hits(text: Column, lowered: Column) -> Column:
+    """Slips of four kinds: double blanks within a line, a blank before a sign, repeated signs, no blank after a comma."""
     return matches(text, DOUBLE_SPACE) + matches(text, SPACE_BEFORE) + matches(text, REPEATED) + matches(lowered, MISSING_SPACE)
 
 
@@ -98,60 +62,26 @@ def filled_lines(text: Column) -> Column:
     return F.filter(F.split(text, LINE_END), lambda s: s.rlike(f"[^{WHITE_SET}]"))
 
 
-def first_word(sentence: Column) -> Column:
-    return F.regexp_replace(F.lower(F.get(white_tokens(sentence), F.lit(0))), "^[.,;:—-]+|[.,;:—-]+$", "")
-
-
-def measure(docs: DataFrame, text: str = "text", language: str | None = None, ready: bool = False) -> DataFrame:
+def measure(docs: DataFrame, text: str = "text", language: str | None = None) -> DataFrame:
     """docs with the twenty measures, language, n_words, n_sentences, n_paragraphs, n_chars and the source sizes.
 
-    `language` names a column that has it; it is detected otherwise.  `ready`: the columns prose,
-    sentences and paragraphs are there.  Null texts count as empty.
+    Text is measured as it stands; an analysis measures the cleaned one.  `language` names a
+    column that has it; it is detected otherwise.  Null texts count as empty.
     """
-    if ready:
-        df = docs.withColumns({"__t": F.col("prose"), "__sent": F.col("sentences"), "__par": F.col("paragraphs")})
-    else:
-        df = docs.withColumn("__parts", spans.parts(F.col(text))).withColumns({"__t": F.col("__parts.prose"), "__sent": F.col("__parts.sentences"), "__par": F.col("__parts.paragraphs")}).drop("__parts")
-    if language is None:
-        df = detect_language(df, "__t")
-        language = "language"
-    df = df.withColumn("__low", F.lower("__t")).withColumn("__tok", F.transform(words(F.col("__t")), F.lower)).withColumn("__ord", F.array_sort("__tok"))
-    source = F.coalesce(F.col(text), F.lit(""))
-    t, low, tok, lang = F.col("__t"), F.col("__low"), F.col("__tok"), F.col(language)
-    n, n_sent = F.size(tok), F.size("__sent")
-    per_100 = 100.0 / F.greatest(n, F.lit(1))
-    per_k = 1000.0 / F.greatest(F.length(t), F.lit(1))
-    sent_len = F.transform("__sent", lambda s: s["n_words"])
-    starts = F.filter(F.transform("__sent", lambda s: first_word(s["text"])), lambda w: w != "")
-    straight, curly = matches(t, "[\"']"), matches(t, "[‘’“”„«»]")
-    types = F.size(F.array_distinct(tok))
-    values = {
-        "mean_sentence_length": _share(F.aggregate(sent_len, F.lit(0.0), lambda a, x: a + x), n_sent),
-        "sentence_length_cv": variation(sent_len),
-        "paragraph_length_cv": variation(F.transform("__par", lambda s: s["n_words"])),
-        "mean_word_length": _share(F.aggregate(tok, F.lit(0.0), lambda a, w: a + F.length(w)), n),
-        "long_word_ratio": _share(F.size(F.filter(tok, lambda w: F.length(w) >= 7)), n),
-        "mattr": moving_types(tok),
-        "hapax_ratio": _share(once_only(F.col("__ord")), types),
-        "discourse_marker_rate": _by_language(lang, tok, low, lex.DISCOURSE) * per_100,
-        "assistant_lexicon_rate": _by_language(lang, tok, low, lex.ASSISTANT) * per_100,
-        "hedge_rate": _by_language(lang, tok, low, lex.HEDGES) * per_100,
-        "contraction_rate": F.when(lang == "en", in_list(tok, lex.CONTRACTIONS) * per_100).otherwise(0.0),
-        "personal_pronoun_rate": _by_language(lang, tok, low, lex.FIRST_PERSON) * per_100,
-        "em_dash_rate": occurrences(t, "—") * per_k,
-        "curly_quote_ratio": _share(curly, curly + straight),
-        "ellipsis_char_rate": occurrences(t, "…") * per_k,
-        "bullet_line_ratio": _share(matches(t, BULLET), F.size(filled_lines(t))),
-        "sentence_start_repetition": _share(let(starts, lambda v: F.size(v) - F.size(F.array_distinct(v))), n_sent),
-        "typo_indicator_rate": typo_hits(t, low) * per_k,
-        "comma_per_sentence": _share(occurrences(t, ","), n_sent),
-        "exclamation_rate": occurrences(t, "!") * per_k,
-    }
-    df = df.withColumns({k: F.round(values[k].cast("double"), 6) for k in FEATURES} | {
-        "n_words": n, "n_sentences": n_sent, "n_paragraphs": F.size("__par"), "n_chars": F.length(t),
-        "n_chars_source": F.length(source), "n_words_source": F.size(words(source)),
-    })
-    return df.drop("__t", "__low", "__tok", "__ord", "__sent", "__par")
+    df = docs.withColumn("__m", study.measured(F.col(text), F.col(language) if language else None))
+    return unpacked(df, "__m", detected=language is None).drop("__m")
+
+
+def with_layout(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs with the traits of layout that profiles look at: bold_run_rate and opening_pleasantry."""
+    df = docs.withColumn("__l", study.laid_out(F.col(text)))
+    return df.withColumns({n: F.col(f"__l.{n}") for n in ("bold_run_rate", "opening_pleasantry")}).drop("__l")
+
+
+def unpacked(df: DataFrame, struct: str, detected: bool = True) -> DataFrame:
+    """df with the fields of a struct of measures as columns."""
+    names = [*study.SIZES, *FEATURES] + ["language", "language_confidence"] * detected
+    return df.withColumns({n: F.col(f"{struct}.{n}") for n in names})
 
 
 def repeated_grams(tokens: Column, n: int = 5) -> Column:
@@ -159,6 +89,6 @@ def repeated_grams(tokens: Column, n: int = 5) -> Column:
     return F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.array_join(F.slice(tokens, i, n), " ")))
 
 
-def gram_hashes(tokens: Column, n: int = 5) -> Column:
-    """The same n-grams as 64-bit hashes, where only repeats count: longs sort faster than strings."""
-    return F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.xxhash64(F.slice(tokens, i, n))))
+def unpivoted(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, feature, value: a row for each measure of measured docs."""
+    return docs.select(key, *FEATURES).unpivot(key, list(FEATURES), "feature", "value")

@@ -19,6 +19,39 @@ class MarkingError(ValueError):
     """The request can't be met."""
 
 
+MOST_RECIPIENTS, LONGEST_TEMPLATE, MOST_REPEATS = 100, 128, 20
+
+
+def refusal(recipients: list[str], template: str, channel: str, repeat: int) -> str | None:
+    """Why a request can't be met, or None."""
+    if not 0 < len(recipients) <= MOST_RECIPIENTS:
+        return f"1 to {MOST_RECIPIENTS} recipients are required"
+    if not all(isinstance(r, str) and r.strip() for r in recipients):
+        return "a recipient is blank"
+    if len(set(recipients)) != len(recipients):
+        return "a recipient is named twice"
+    if not isinstance(template, str) or len(template) > LONGEST_TEMPLATE:
+        return f"a template has at most {LONGEST_TEMPLATE} characters"
+    if channel not in CHANNELS:
+        return f"no such channel: {channel!r}"
+    if isinstance(repeat, bool) or not isinstance(repeat, int) or not 1 <= repeat <= MOST_REPEATS:
+        return f"repeat is a whole number from 1 to {MOST_REPEATS}"
+    return None
+
+
+def request_refusal(recipients: Column, template: Column, channel: Column, repeat: Column) -> Column:
+    """The same of a table of requests, as codes."""
+    return (
+        F.when(recipients.isNull() | ~F.size(recipients).between(1, MOST_RECIPIENTS), "recipients").when(F.exists(recipients, lambda r: ~F.coalesce(r.rlike(r"\S"), F.lit(False))), "blank")
+        .when(F.size(F.array_distinct(recipients)) < F.size(recipients), "twice").when(F.length(template) > LONGEST_TEMPLATE, "template").when(~channel.isin(*CHANNELS), "channel").when(~repeat.between(1, MOST_REPEATS), "repeat")
+    )
+
+
+def filled(template: str, recipient: str, index: int) -> str:
+    """A template with its fields filled in."""
+    return _FIELD.sub(lambda m: recipient if m[0] == "{recipient}" else str(index).zfill(int(m[1] or 0)), template)
+
+
 def payload_of(template: str, recipient: Column, index: Column) -> Column:
     """A template of text, {recipient}, {index} and {index:0Nd}; nothing else."""
     parts, at = [], 0
@@ -53,22 +86,39 @@ def marked_text(text: Column, payload: Column, channel: str = "tag_characters",
     return let(F.struct(pieces.alias("pieces"), ends.alias("n"), block.alias("block")), spread)
 
 
+def copies_in(text: Column, repeat: int) -> Column:
+    """How often a payload stands in a marked text."""
+    ends = F.regexp_count(text, F.lit(rf"(?<=[.!?])[{WHITE_SET}]+"))
+    return F.when(ends == 0, 1).otherwise(F.least(ends, F.lit(repeat)))
+
+
+def distinct_copies(copies: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, copies, distinct_texts, distinct_recipients: marked copies of a document must all differ."""
+    return copies.groupBy(key).agg(F.count("*").alias("copies"), F.count_distinct(F.sha2("text", 256)).alias("distinct_texts"), F.count_distinct("recipient").alias("distinct_recipients"))
+
+
 def mark_copies(docs: DataFrame, recipients: list[str], template: str = "{recipient}", channel: str = "tag_characters", repeat: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, recipient, payload, text, channel, carrier_chars, verified: a row for each document and recipient.
 
-    Recipients are a list of the caller's, 100 at most, so they are unrolled rather than joined.
+    Recipients are a list of the caller's, 100 at most, so they are unrolled rather than joined.  A request that
+    can't be met, a blank payload, and one that the channel can't hold are refused; so is, when it is made, a copy
+    that does not decode to its payload: a mark that can't be read back is worse than none.
     """
-    if not recipients or len(recipients) > 100:
-        raise MarkingError("1 to 100 recipients are required")
-    if len(set(recipients)) != len(recipients):
-        raise MarkingError("a recipient is named twice")
+    why = refusal(recipients, template, channel, repeat)
+    if why:
+        raise MarkingError(why)
+    for i, r in enumerate(recipients, 1):
+        said = filled(template, r, i)
+        if not said.strip():
+            raise MarkingError("a payload is blank")
+        if channel == "tag_characters" and not all(" " <= c <= "~" for c in said):
+            raise MarkingError("tag characters hold printable ASCII alone: take variation_selectors")
     who = F.array(*(F.struct(F.lit(i).alias("index"), F.lit(r).alias("recipient")) for i, r in enumerate(recipients, 1)))
     rows = docs.select(key, F.col(text).alias("__t"), F.explode(who).alias("w")).withColumn("payload", payload_of(template, F.col("w.recipient"), F.col("w.index")))
-    if channel == "tag_characters":
-        rows = rows.withColumn("payload", F.when(F.col("payload").rlike(r"^[ -~]+\z"), F.col("payload")))
     rows = rows.withColumn("text", marked_text(F.col("__t"), F.col("payload"), channel, repeat)).withColumn("__p", decode_all(F.col("text")))
     verified = F.exists("__p", lambda p: F.contains(p["text"], F.concat("payload", F.lit(SEPARATOR))))
-    return rows.select(key, F.col("w.recipient").alias("recipient"), "payload", "text", F.lit(channel).alias("channel"), (F.length("text") - F.length("__t")).alias("carrier_chars"), verified.alias("verified"))
+    return rows.select(key, F.col("w.recipient").alias("recipient"), "payload", "text", F.lit(channel).alias("channel"), (F.length("text") - F.length("__t")).alias("carrier_chars"), copies_in(F.col("__t"), repeat).alias("copies_embedded"),
+        F.when(F.col("__t").isNull(), F.lit(False)).when(verified, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("a mark does not decode back: document "), F.col(key).cast("string")))).cast("boolean").alias("verified"))
 
 
 def trace(leaked: DataFrame, issued: DataFrame, text: str = "text") -> DataFrame:
@@ -80,4 +130,8 @@ def trace(leaked: DataFrame, issued: DataFrame, text: str = "text") -> DataFrame
 
 def parse_recipients(text: Column) -> Column:
     """Names between line ends and commas, blanks trimmed and dropped."""
-    return F.filter(F.transform(F.split(text, "[\n,]"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, "[\n,]"), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def has_duplicates(names: Column) -> Column:
+    return F.size(F.array_distinct(names)) < F.size(names)

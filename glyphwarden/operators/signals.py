@@ -1,24 +1,20 @@
-"""Watermark evidence: detectors as Column expressions, and the score that combines them."""
+"""Watermark evidence: what the detectors found, payloads among it, and the score that combines them.
+
+Detectors of characters, typography, repetition and layout run in the Arrow pass of
+functions/study.py; payload decoders, their signals and the score are Column expressions.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import codepoints as cp
-from ..functions.spans import prepared
-from ..functions.text import let, matches, occurrences, steps, words
-from . import scan
-from .features import filled_lines, gram_hashes
+from ..functions import study
+from ..functions.text import let, preview
 from .payloads import decode_all
 
-SIGNAL = "struct<id:string,category:string,score:double,weight:double,severity:string,rank:int,summary:string>"
 SEVERITIES = ("info", "low", "medium", "high", "critical")
-# Steps of counts, weights and caps of the detectors.
-INVISIBLE_STEPS = ((1, 0.45), (2, 0.6), (5, 0.75), (20, 0.88), (64, 0.94))
-BIDI_STEPS = ((1, 0.55), (2, 0.7), (6, 0.85))
-HOMOGLYPH_STEPS = ((1, 0.5), (3, 0.68), (10, 0.85), (30, 0.93))
-EXOTIC_STEPS = ((1, 0.12), (4, 0.25), (15, 0.4), (50, 0.55))
+SIGNALS = study.spark_type(study.pa.list_(study.SIGNAL))
 
 
 def severity(score: Column) -> Column:
@@ -29,97 +25,49 @@ def severity_rank(sev: Column) -> Column:
     return F.array_position(F.array(*(F.lit(s) for s in SEVERITIES)), sev).cast("int")
 
 
-def _signal(name: Column | str, category: str, score: Column, weight: float, rank: int, summary: Column) -> Column:
-    name = F.lit(name) if isinstance(name, str) else name
-    return F.struct(
-        name.alias("id"), F.lit(category).alias("category"), score.cast("double").alias("score"), F.lit(weight).alias("weight"),
-        severity(score).alias("severity"), F.lit(rank).alias("rank"), summary.alias("summary"),
-    )
-
-
-def hit_array(text: Column) -> Column:
-    """array<struct<offset,cp,category>> of suspicious characters, offsets from the lengths of the stretches between."""
-    pieces = F.regexp_extract_all(text, F.lit(f"[^{cp.SUSPICIOUS_SET}]+|[{cp.SUSPICIOUS_SET}]"), F.lit(0))
-    empty = F.array().cast("array<struct<offset:int,cp:int,category:string>>")
-    alone = r"[\x{FE0E}\x{FE0F}]"
-
-    def walk(ps: Column) -> Column:
-        def step(a: Column, i: Column) -> Column:
-            p, before, after = F.get(ps, i), F.get(ps, i - 1), F.get(ps, i + 1)
-            styling = p.rlike(alone) & F.coalesce(before.rlike(f"[{cp.SCAN_PICTOGRAPH_SET}]$"), F.lit(False)) & ~F.coalesce(after.rlike(f"^{alone}"), F.lit(False))
-            hit = p.rlike(f"^[{cp.SUSPICIOUS_SET}]") & ~styling
-            one = let(cp.code_point(p), lambda c: F.struct(a["at"].alias("offset"), c.alias("cp"), cp.category_of(c).alias("category")))
-            return F.struct((a["at"] + F.length(p)).alias("at"), F.when(hit, F.concat(a["hits"], F.array(one))).otherwise(a["hits"]).alias("hits"))
-
-        return F.aggregate(F.sequence(F.lit(0), F.size(ps) - 1), F.struct(F.lit(0).alias("at"), empty.alias("hits")), step)["hits"]
-
-    return F.when(text.rlike(f"[{cp.SUSPICIOUS_SET}]"), let(pieces, walk)).otherwise(empty)
-
-
-def _of(hits: Column, *categories: str) -> Column:
-    return F.filter(hits, lambda h: h["category"].isin(*categories))
-
-
-def _offsets(hits: Column) -> Column:
-    return F.transform(hits, lambda h: h["offset"])
-
-
-def signals(docs: DataFrame, text: str = "text", ready: bool = False) -> DataFrame:
-    """docs with normalized, cleaned, hits, payloads, homoglyphs and the array of signals, highest severity and score first.
-
-    `ready`: the columns normalized and cleaned are there.
-    """
-    t = F.coalesce(F.col(text), F.lit(""))
-    df = docs if ready else docs.withColumn("__p", prepared(F.col(text))).withColumns({"normalized": F.col("__p.normalized"), "cleaned": F.col("__p.cleaned")}).drop("__p")
-    df = df.withColumn("hits", hit_array(t)).withColumn("payloads", decode_all(t)).withColumn(
-        "homoglyphs", F.when(t.rlike(f"[{cp.LOOK_ALIKES}]"), scan.homoglyph_array(t)).otherwise(F.array().cast("array<struct<offset:int,ch:string,latin:string,word:string>>"))
-    )
-    df = df.withColumn("__invisible", _of(F.col("hits"), "zero_width", "tag_char", "variation_selector")).withColumn("__exotic", _of(F.col("hits"), "exotic_space"))
-    df = df.withColumn("__bidi", F.size(_of(F.col("hits"), "bidi_control"))).withColumn("__tok", F.transform(words(F.col("normalized")), F.lower)).withColumn("__grams", gram_hashes(F.col("__tok")))
-    norm = F.col("normalized")
-    n_inv, n_exo, n_homo = F.size("__invisible"), F.size("__exotic"), F.size("homoglyphs")
-    inv_score, exo_score = F.col("__inv"), F.col("__exo")
-    typo_score, gram_score, layout_score, again, lines = (F.col(c) for c in ("__typo", "__gram", "__layout", "__again", "__lines"))
-    inv = F.least(F.lit(0.99), steps(n_inv, *INVISIBLE_STEPS) + 0.08 * scan.gap_regularity(_offsets(F.col("__invisible"))))
-    exo = F.least(F.lit(0.8), steps(n_exo, *EXOTIC_STEPS) + 0.25 * scan.gap_regularity(_offsets(F.col("__exotic"))))
-    dashes, dots, hyphens = occurrences(norm, "—"), occurrences(norm, "…"), occurrences(norm, "‑")
-    curly, straight = matches(norm, "[‘’“”]"), matches(norm, "[\"']")
-    typo = F.least(F.lit(0.75), (dashes + dots + hyphens) * (1000.0 / F.greatest(F.length(norm), F.lit(1))) / 6.0 + F.when(curly + straight > 0, curly / (curly + straight)).otherwise(0.0) * 0.35)
-    n_grams = F.size("__grams")
-    df = df.withColumns({"__ordered": F.array_sort("__grams"), "__filled": filled_lines(norm)})
-    o = F.col("__ordered")
-    repeats = F.size(F.filter(F.sequence(F.lit(0), n_grams - 1), lambda i: F.coalesce(F.get(o, i - 1) == F.get(o, i), F.lit(False)) | F.coalesce(F.get(o, i + 1) == F.get(o, i), F.lit(False))))
-    df = df.withColumns({"__again": repeats, "__lines": F.size("__filled"), "__inv": inv, "__exo": exo, "__typo": typo})
-    bullets = F.size(F.filter("__filled", lambda s: s.rlike(r"^\s*(?:[-*•]|\d+[.)])\s+")))
-    headings = matches(norm, r"(?m)^\s*(#{1,6}\s+\S|\*\*[^*\n]+\*\*\s*$)")
-    bold = F.floor(occurrences(norm, "**") / 2)
-    df = df.withColumns({
-        "__gram": F.least(F.lit(0.7), again / n_grams * 5.0),
-        "__layout": F.least(F.lit(0.6), (bullets + headings) / F.greatest(lines, F.lit(1)) * 0.9 + F.least(bold, F.lit(12)) * 0.02),
-    })
+def placed_payloads(payloads: Column, carriers: Column) -> Column:
+    """Payloads with the offsets of their first and last carrier, which `carriers` (note, first, last) has by the decoder's note."""
+
+    def one(p: Column) -> Column:
+        mine = F.get(F.filter(carriers, lambda c: F.startswith(p["note"], c["note"])), F.lit(0))
+        return let(mine, lambda c: F.struct(
+            p["channel"].alias("channel"), p["text"].alias("text"), p["byte_length"].alias("byte_length"), F.round(p["printable_ratio"], 4).alias("printable_ratio"), p["n_carriers"].alias("carrier_count"),
+            c["first"].alias("first_offset"), c["last"].alias("last_offset"), p["note"].alias("note")))
+
+    return F.transform(payloads, one)
+
+
+def payload_signals(payloads: Column) -> Column:
+    """The signal of each placed payload: critical, with its content and where its carriers stand as evidence."""
+
+    def one(p: Column) -> Column:
+        said = F.struct(F.lit("payload").alias("kind"), F.concat(F.lit("content: "), preview(p["text"], 160)).alias("detail"), F.lit(None).cast("int").alias("offset"), F.lit(1).alias("length"))
+        where = F.struct(
+            F.lit("span").alias("kind"), F.format_string("%d carriers from offset %d to %d", p["carrier_count"], p["first_offset"], p["last_offset"]).alias("detail"),
+            p["first_offset"].alias("offset"), (p["last_offset"] - p["first_offset"] + 1).cast("int").alias("length"))
+        return F.struct(
+            F.concat(F.lit("payload_"), p["channel"]).alias("id"), F.lit("covert_channel").alias("category"), F.concat(F.lit("Hidden message in "), F.replace(p["channel"], F.lit("_"), F.lit(" "))).alias("title"),
+            F.format_string("%d bytes of invisible characters decode to text. %s", p["byte_length"], p["note"]).alias("description"), F.lit(0.97).alias("score"), F.lit(1.0).alias("weight"), F.lit("critical").alias("severity"),
+            F.lit(0).alias("rank"), F.array(said, where).alias("evidence"), F.lit(2).alias("evidence_total"))
 
-    def count(n: Column, what: str) -> Column:
-        return F.concat(n.cast("string"), F.lit(what))
-
-    kind = SIGNAL.replace("struct<", "array<struct<") + ">"
-    from_payloads = F.transform("payloads", lambda p: _signal(F.concat(F.lit("payload_"), p["channel"]), "covert_channel", F.lit(0.97), 1.0, 0, p["text"])).cast(kind)
-    fixed = F.array(
-        F.when(n_inv > 0, _signal("invisible_characters", "covert_channel", inv_score, 1.0, 1, count(n_inv, " invisible"))),
-        F.when(F.col("__bidi") > 0, _signal("bidi_controls", "obfuscation", steps(F.col("__bidi"), *BIDI_STEPS), 0.9, 2, count(F.col("__bidi"), " controls"))),
-        F.when(n_homo > 0, _signal("homoglyph_substitution", "obfuscation", steps(n_homo, *HOMOGLYPH_STEPS), 0.95, 3, count(n_homo, " look-alikes"))),
-        F.when(n_exo > 0, _signal("exotic_whitespace", "obfuscation", exo_score, 0.5, 4, count(n_exo, " spaces"))),
-        F.when(typo_score >= 0.12, _signal("typographic_fingerprint", "stylistic", typo_score, 0.35, 5, count(dashes, " em dashes"))),
-        F.when((F.size("__tok") >= 40) & (again > 0) & (gram_score >= 0.12), _signal("ngram_recycling", "stylistic", gram_score, 0.3, 6, count(again, " repeats"))),
-        F.when((lines >= 6) & (layout_score >= 0.15), _signal("structural_uniformity", "stylistic", layout_score, 0.25, 7, count(lines, " lines"))),
-    ).cast(kind)
-    every = F.concat(from_payloads, F.filter(fixed, lambda s: s.isNotNull()))
-    by_weight = F.transform(every, lambda s: F.struct((-severity_rank(s["severity"])).alias("a"), (-s["score"]).alias("b"), s["rank"].alias("c"), s.alias("s")))
-    df = df.withColumn("signals", F.transform(F.array_sort(by_weight), lambda x: x["s"]))
-    return df.drop("__invisible", "__exotic", "__bidi", "__tok", "__grams", "__ordered", "__filled", "__again", "__lines", "__inv", "__exo", "__typo", "__gram", "__layout")
+    return F.transform(payloads, one).cast(SIGNALS)
+
+
+def ordered(found: Column) -> Column:
+    """Highest severity first, then score, then the detectors' order."""
+    keyed = F.transform(found, lambda s: F.struct((-severity_rank(s["severity"])).alias("a"), (-s["score"]).alias("b"), s["rank"].alias("c"), s.alias("s")))
+    return F.transform(F.array_sort(keyed), lambda x: x["s"])
+
+
+def signals(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs with payloads and the array of signals.  Null texts count as empty."""
+    df = docs.withColumn("__x", study.signalled(F.col(text))).withColumn("__p", decode_all(F.coalesce(F.col(text), F.lit(""))))
+    df = df.withColumn("payloads", placed_payloads(F.col("__p"), F.col("__x.carriers")))
+    return df.withColumn("signals", ordered(F.concat(payload_signals(F.col("payloads")), F.col("__x.found")))).drop("__x", "__p")
 
 
 def watermark(docs: DataFrame) -> DataFrame:
-    """After signals(): watermark_score, _label, _confidence and _basis."""
+    """After signals(): watermark_value, its rounded watermark_score, _label, _confidence and _basis."""
     hard = F.filter("signals", lambda s: s["category"] != "stylistic")
     soft = F.filter("signals", lambda s: s["category"] == "stylistic")
     # the strongest counts in full; each further channel takes half its strength of what is left
@@ -129,12 +77,10 @@ def watermark(docs: DataFrame) -> DataFrame:
     style = F.when(total > 0, F.aggregate(soft, F.lit(0.0), lambda a, s: a + s["score"] * s["weight"]) / total).otherwise(0.0)
     payload = F.exists("signals", lambda s: s["id"].startswith("payload_"))
     score = F.least(F.lit(0.99), F.greatest(bytes_score, style * 0.45))
-    score = F.when(payload, F.greatest(score, F.lit(0.95))).otherwise(score)
-    s = F.col("__score")
-    return docs.withColumn("__score", score).withColumns({
+    s = F.col("watermark_value")
+    return docs.withColumn("watermark_value", F.when(payload, F.greatest(score, F.lit(0.95))).otherwise(score)).withColumns({
         "watermark_label": F.when(payload, "payload_recovered").when(s >= 0.8, "watermark_detected").when(s >= 0.5, "watermark_suspected").when(s >= 0.2, "weak_indicators").otherwise("clean"),
         "watermark_confidence": F.when(payload | (s >= 0.8), "high").when(s >= 0.5, "medium").otherwise("low"),
         "watermark_basis": F.when(F.size(hard) > 0, "bytes").when(F.size(soft) > 0, "stylistic").otherwise("none"),
         "watermark_score": F.round(s, 4),
-    }).drop("__score")
-
+    })

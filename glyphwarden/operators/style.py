@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.codepoints import WHITE_SET
-from ..functions.text import matches
-from .features import filled_lines
+from . import features
+
 
 # Mean, standard deviation and weight of each scored measure.
 PRIOR = {
@@ -42,7 +42,6 @@ PROFILES = {
         ("bullet_line_ratio", 0.10, 0.25, "at_most", 0.5, None), ("assistant_lexicon_rate", 0.50, 0.80, "at_most", 1.0, None), ("discourse_marker_rate", 0.60, 0.90, "at_most", 1.0, None),
     ],
 }
-OPENING = r"(?iu)^\s*(certainly|sure|of course|great question|absolutely|happy to help|oczywiście|jasne|świetne pytanie|z przyjemnością)\b[!,.]"
 MOST_ALIKE = 0.85
 
 
@@ -56,28 +55,74 @@ def contribution(feature: str) -> Column:
     return F.when(F.col("language") == "en", out).otherwise(0.0) if feature == "contraction_rate" else out
 
 
-def contributions(docs: DataFrame, most: int = 10, key: str = "doc_id") -> DataFrame:
-    """key, feature, value, z, contribution, direction: the strongest of each document."""
+def contribution_array(most: int = 10) -> Column:
+    """array<struct<feature,value,z,contribution,direction>> of the strongest, by size; English contractions count in English alone."""
     every = F.array(*(F.struct((-F.abs(contribution(f))).alias("by"), F.lit(i).alias("i"), F.lit(f).alias("feature"), F.col(f).alias("value"), z_score(f).alias("z"), contribution(f).alias("contribution")) for i, f in enumerate(PRIOR)))
     kept = F.filter(every, lambda c: (c["feature"] != "contraction_rate") | (F.col("language") == "en"))
-    rows = docs.select(key, F.posexplode(F.slice(F.array_sort(kept), 1, most)).alias("rank", "c"))
-    return rows.select(key, "rank", "c.feature", F.round("c.value", 4).alias("value"), F.round("c.z", 3).alias("z"), F.round("c.contribution", 4).alias("contribution"), F.when(F.col("c.contribution") > 0, "assistant").otherwise("human").alias("direction"))
+    return F.transform(F.slice(F.array_sort(kept), 1, most), lambda c: F.struct(
+        c["feature"].alias("feature"), F.round(c["value"], 4).alias("value"), F.round(c["z"], 3).alias("z"), F.round(c["contribution"], 4).alias("contribution"), F.when(c["contribution"] > 0, "assistant").otherwise("human").alias("direction")))
+
+
+def contributions(docs: DataFrame, most: int = 10, key: str = "doc_id") -> DataFrame:
+    """key, rank, feature, value, z, contribution, direction: the strongest of each document."""
+    return docs.select(key, F.posexplode(contribution_array(most)).alias("rank", "c")).select(key, "rank", "c.*")
+
+
+def values_of(measured: list[dict]) -> list[float]:
+    """The unrounded style value of each record of measures: one matrix product."""
+    if not measured:
+        return []
+    table = np.array([[m[f] for f in PRIOR] for m in measured])
+    mean, sd, weight = np.array(list(PRIOR.values())).T
+    z = np.clip((table - mean) / sd, -CLIP, CLIP) * weight * TEMPERATURE
+    z[:, list(PRIOR).index("contraction_rate")] *= [m["language"] == "en" for m in measured]
+    n = np.array([m["n_words"] for m in measured])
+    raw = 1 / (1 + np.exp(-(z.sum(axis=1) + BIAS)))
+    return np.clip(0.5 + (raw - 0.5) * np.minimum(1.0, np.sqrt(n / FULL_WORDS)), 0.02, 0.98).tolist()
+
+
+def shrunk(raw: Column, n_words: Column) -> Column:
+    """A probability drawn towards a half where there is little text."""
+    kept = F.least(F.lit(1.0), F.sqrt(n_words / FULL_WORDS))
+    return F.greatest(F.lit(0.02), F.least(F.lit(0.98), 0.5 + (raw - 0.5) * kept))
+
+
+def half_band(n_words: Column) -> Column:
+    return F.greatest(F.lit(0.05), F.least(F.lit(0.35), 0.5 / F.sqrt(F.greatest(n_words, F.lit(1)) / 60.0)))
+
+
+def judged(docs: DataFrame, value: Column, model: str, trained: bool, half: Column | None = None) -> DataFrame:
+    """docs with style_raw (unrounded), style_value, _low, _high, _label, _confidence, _model and _trained of a value."""
+    v, b, n = F.col("style_raw"), F.col("__b"), F.col("n_words")
+    return docs.withColumn("style_raw", value).withColumn("__b", half_band(n) if half is None else half).withColumns({
+        "style_value": F.round(v, 4), "style_low": F.round(F.greatest(F.lit(0.0), v - b), 4), "style_high": F.round(F.least(F.lit(1.0), v + b), 4),
+        "style_label": F.when(n < LEAST_WORDS, "insufficient_text").when(v >= 0.85, "likely_assistant_strong").when(v >= 0.65, "likely_assistant").when(v <= 0.35, "likely_human").otherwise("inconclusive"),
+        "style_confidence": F.when(n < LEAST_WORDS, "none").when((b <= 0.12) & (n >= 250), "high").when(b <= 0.22, "medium").otherwise("low"),
+        "style_model": F.lit(model), "style_trained": F.lit(trained),
+    }).drop("__b")
 
 
 def style_score(docs: DataFrame) -> DataFrame:
-    """docs (measured) with style_value, _low, _high, _label and _confidence."""
+    """Measured docs, judged by the documented priors."""
     total = F.lit(BIAS)
     for f in PRIOR:
         total = total + contribution(f)
-    kept = F.least(F.lit(1.0), F.sqrt(F.col("n_words") / FULL_WORDS))
-    value = F.greatest(F.lit(0.02), F.least(F.lit(0.98), 0.5 + (1 / (1 + F.exp(-total)) - 0.5) * kept))
-    half = F.greatest(F.lit(0.05), F.least(F.lit(0.35), 0.5 / F.sqrt(F.greatest(F.col("n_words"), F.lit(1)) / 60.0)))
-    v, b, n = F.col("__v"), F.col("__b"), F.col("n_words")
-    return docs.withColumn("__v", value).withColumn("__b", half).withColumns({
-        "style_value": F.round(v, 4), "style_low": F.round(F.greatest(F.lit(0.0), v - b), 4), "style_high": F.round(F.least(F.lit(1.0), v + b), 4),
-        "style_label": F.when(n < LEAST_WORDS, "insufficient_text").when(v >= 0.85, "likely_assistant_strong").when(v >= 0.65, "likely_assistant").when(v <= 0.35, "likely_human").otherwise("inconclusive"),
-        "style_confidence": F.when(n < LEAST_WORDS, "none").when((b <= 0.12) & (n >= 250), "high").when(b <= 0.22, "medium").otherwise("low"),
-    }).drop("__v", "__b")
+    return judged(docs, shrunk(1 / (1 + F.exp(-total)), F.col("n_words")), "prior-logistic", False)
+
+
+def trained_score(docs: DataFrame, probability: str = "style_probability") -> DataFrame:
+    """Measured docs, judged by a trained model's probability: the same shrinking, band and labels."""
+    return judged(docs, shrunk(F.col(probability), F.col("n_words")), "trained-logistic", True)
+
+
+def style_notes(docs: DataFrame) -> Column:
+    """What limits a style score."""
+    n = F.col("n_words")
+    return F.filter(F.array(
+        F.when(n < LEAST_WORDS, F.format_string("%d words: too few for a verdict", n)).when((n < FULL_WORDS) & ~F.col("style_trained"), F.format_string("%d words, fewer than %d: the score is drawn towards a half", n, F.lit(FULL_WORDS))),
+        F.when((F.col("language") == "unknown") & ~F.col("style_trained"), "language unknown: English lists were used"),
+        F.when(F.col("style_trained"), "scored by a model fitted on labelled texts").otherwise("weights are documented priors, not fitted"),
+    ), lambda x: x.isNotNull())
 
 
 def _penalty(observed: Column, target: float, tolerance: float, direction: str) -> Column:
@@ -94,18 +139,27 @@ def likeness(traits: list[tuple]) -> Column:
     return F.round(F.least(F.lit(MOST_ALIKE), F.greatest(F.lit(0.0), 1 - pen / weight)), 4)
 
 
-def profiles(docs: DataFrame, text: str = "text", most: int = 3, key: str = "doc_id") -> DataFrame:
-    """key, rank, family, similarity of the most alike profiles of measured docs."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    df = docs.withColumn("bold_run_rate", matches(t, r"\*\*[^*\n]+\*\*") / F.greatest(F.size(filled_lines(t)), F.lit(1))).withColumn("opening_pleasantry", F.when(t.rlike(OPENING), 1.0).otherwise(0.0))
+def profile_array(most: int = 3) -> Column:
+    """array<struct<family,similarity>> of the most alike profiles, from columns of measures, bold_run_rate and opening_pleasantry."""
     every = F.array(*(F.struct((-likeness(traits)).alias("by"), F.lit(i).alias("i"), F.lit(family).alias("family")) for i, (family, traits) in enumerate(PROFILES.items())))
-    rows = df.select(key, F.posexplode(F.slice(F.array_sort(every), 1, most)).alias("rank", "p"))
-    return rows.select(key, "rank", "p.family", (-F.col("p.by")).alias("similarity"))
+    return F.transform(F.slice(F.array_sort(every), 1, most), lambda p: F.struct(p["family"].alias("family"), (-p["by"]).alias("similarity")))
+
+
+def profiles(docs: DataFrame, most: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, rank, family, similarity of the most alike profiles of measured docs; traits of layout are taken from the text where they are missing."""
+    if "bold_run_rate" not in docs.columns:
+        docs = features.with_layout(docs, text)
+    return docs.select(key, F.posexplode(profile_array(most)).alias("rank", "p")).select(key, "rank", "p.family", "p.similarity")
 
 
-def blend(style: Column, surprisal: Column) -> Column:
-    """A language model's signal takes three tenths of the score where there is one."""
-    return F.when(surprisal.isNull(), style).otherwise(0.7 * style + 0.3 * surprisal)
+def blended(docs: DataFrame, surprisal: str) -> DataFrame:
+    """Judged docs whose score takes three tenths of a language model's signal where there is one: clipped, rounded, with a band wider by 0.02."""
+    s, v = F.col(surprisal), F.round(F.greatest(F.lit(0.02), F.least(F.lit(0.98), 0.7 * F.col("style_raw") + 0.3 * F.col(surprisal))), 4)
+    return docs.withColumns({
+        "style_raw": F.when(s.isNull(), F.col("style_raw")).otherwise(v), "style_value": F.when(s.isNull(), F.col("style_value")).otherwise(v),
+        "style_low": F.when(s.isNull(), F.col("style_low")).otherwise(F.round(F.greatest(F.lit(0.0), F.col("style_low") - 0.02), 4)),
+        "style_high": F.when(s.isNull(), F.col("style_high")).otherwise(F.round(F.least(F.lit(1.0), F.col("style_high") + 0.02), 4)),
+    })
 
 
 def surprisal_signal(mean: Column, cv: Column) -> Column:
@@ -116,4 +170,13 @@ def surprisal_signal(mean: Column, cv: Column) -> Column:
     return 0.65 * between(mean, 4.5, 2.5) + 0.35 * between(cv, 0.85, 0.55)
 
 
-__all__ = ["WHITE_SET", "contributions", "profiles", "style_score"]
+def surprisal_summary(surprisals: Column, least: int = 8) -> Column:
+    """struct<available, reason, mean, cv, perplexity, signal> of an array of surprisals in nats; unavailable below `least` tokens."""
+    n = F.size(surprisals)
+    mean = F.aggregate(surprisals, F.lit(0.0), lambda a, x: a + x) / n
+    spread = F.sqrt(F.aggregate(surprisals, F.lit(0.0), lambda a, x: a + x * x) / n - mean * mean)
+    enough = F.coalesce(n >= least, F.lit(False))
+    cv = F.when(mean > 0, spread / mean).otherwise(0.0)
+    return F.struct(
+        enough.alias("available"), F.when(~enough, "too few tokens, or no language model").alias("reason"), F.when(enough, F.round(mean, 4)).alias("mean"), F.when(enough, F.round(cv, 4)).alias("cv"),
+        F.when(enough, F.round(F.exp(mean), 3)).alias("perplexity"), F.when(enough, F.round(surprisal_signal(mean, cv), 4)).alias("signal"))

@@ -7,7 +7,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .features import FEATURES
@@ -38,23 +38,48 @@ def train(rows: DataFrame, label: str = "label", least: int = LEAST_PER_CLASS) -
 
 
 def with_folds(rows: DataFrame, k: int, key: str, label: str = "label") -> DataFrame:
-    w = Window.partitionBy(label).orderBy(F.xxhash64(key), key)
-    return rows.withColumn("fold", (F.row_number().over(w) - 1) % k)
+    """rows with a fold by the hash of key and label: no class is brought together, and folds have about equal shares of each."""
+    return rows.withColumn("fold", F.pmod(F.xxhash64(key, label), F.lit(k)).cast("int"))
 
 
 def cross_validated(rows: DataFrame, k: int = 3, key: str = "doc_id", label: str = "label") -> DataFrame:
-    """fold, n, accuracy, precision, recall, f1, auc of each of k stratified folds."""
-    folded = with_folds(rows, k, key, label).cache()
-    spark, out = rows.sparkSession, []
-    for i in range(k):
-        model = estimator(label).fit(balanced(folded.where(F.col("fold") != i), label))
-        held = model.transform(folded.where(F.col("fold") == i)).cache()
-        auc = BinaryClassificationEvaluator(labelCol=label).evaluate(held)
-        y, p = F.col(label) == 1, F.col("prediction") == 1
-        r = held.agg(F.count("*").alias("n"), F.sum((y & p).cast("int")).alias("tp"), F.sum((~y & p).cast("int")).alias("fp"), F.sum((y & ~p).cast("int")).alias("fn"), F.sum((y == p).cast("int")).alias("ok")).first()
-        precision, recall = r["tp"] / max(r["tp"] + r["fp"], 1), r["tp"] / max(r["tp"] + r["fn"], 1)
-        out.append((i, r["n"], r["ok"] / r["n"], precision, recall, 2 * precision * recall / max(precision + recall, 1e-12), auc))
-    return spark.createDataFrame(out, "fold int, n long, accuracy double, precision double, recall double, f1 double, auc double")
+    """fold, n, accuracy, precision, recall, f1, auc of each of k folds; measures that are not defined are null."""
+    folded = with_folds(rows, k, key, label).persist()
+    out = []
+    try:
+        for i in range(k):
+            model = estimator(label).fit(balanced(folded.where(F.col("fold") != i), label))
+            held = model.transform(folded.where(F.col("fold") == i)).select(label, "prediction", "rawPrediction").persist()
+            y, p = F.col(label) == 1, F.col("prediction") == 1
+            r = held.agg(F.count("*").alias("n"), *(F.coalesce(F.sum(c.cast("int")), F.lit(0)).alias(a) for a, c in (("tp", y & p), ("fp", ~y & p), ("fn", y & ~p), ("tn", ~y & ~p)))).first()
+            both = r["tp"] + r["fn"] and r["fp"] + r["tn"]
+            auc = BinaryClassificationEvaluator(labelCol=label).evaluate(held) if both else None
+            held.unpersist()
+            precision, recall = _ratio(r["tp"], r["tp"] + r["fp"]), _ratio(r["tp"], r["tp"] + r["fn"])
+            f1 = _ratio(2 * r["tp"], 2 * r["tp"] + r["fp"] + r["fn"])
+            out.append((i, r["n"], _ratio(r["tp"] + r["tn"], r["n"]), precision, recall, f1, auc))
+    finally:
+        folded.unpersist()
+    return rows.sparkSession.createDataFrame(out, "fold int, n long, accuracy double, precision double, recall double, f1 double, auc double")
+
+
+def _ratio(a: int, b: int) -> float | None:
+    return a / b if b else None
+
+
+def fold_means(folds: DataFrame) -> DataFrame:
+    """The mean of each measure over the folds that have it; NaN counts as missing."""
+    return folds.agg(*(F.round(F.avg(F.when(~F.isnan(c), F.col(c))), 4).alias(c) for c in ("accuracy", "precision", "recall", "f1", "auc")), F.sum("n").alias("n"), F.count("*").alias("folds"))
+
+
+def sources_of(rows: DataFrame, source: str = "source") -> DataFrame:
+    """The distinct sources of a corpus in order, as one array; sources are few."""
+    return rows.agg(F.sort_array(F.collect_set(source)).alias("sources"), F.count("*").alias("n"))
+
+
+def class_counts(rows: DataFrame, label: str = "label", least: int = LEAST_PER_CLASS) -> DataFrame:
+    """label, n, enough of each class."""
+    return rows.groupBy(label).agg(F.count("*").alias("n")).withColumn("enough", F.col("n") >= least)
 
 
 def predict(model: PipelineModel, rows: DataFrame) -> DataFrame:

@@ -119,5 +119,6 @@ def validated(docs: DataFrame, text: str = "text", mode: str = "mode", most: int
 
 
 def validated_reports(reports: DataFrame) -> DataFrame:
+    """reports with the column that is refused: title (1 to 200 characters), notes (5,000 at most) or analysis_id."""
     title = F.trim("title")
-    return reports.withColumn("refused", F.when(title.isNull() | (F.length(title) == 0) | (F.length(title) > 200), "title").when(F.length("notes") > 5000, "notes").when(~F.col("analysis_id").rlike("^[a-z0-9]{1,64}$"), "analysis_id"))
+    return reports.withColumn("refused", F.when(title.isNull() | (F.length(title) == 0) | (F.length(title) > 200), "title").when(F.length(F.trim("notes")) > 5000, "notes").when(F.col("analysis_id").isNull() | ~F.col("analysis_id").rlike(r"^[a-z0-9]{1,64}\z"), "analysis_id"))

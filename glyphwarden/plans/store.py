@@ -52,13 +52,37 @@ def delete_cascade(tables: dict[str, DataFrame], gone: DataFrame) -> dict[str, D
     return out
 
 
+def insert(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
+    """old and those of new whose key is not there yet, so that a repeated insert changes nothing; columns that new lacks are null."""
+    fresh = new.dropDuplicates([key]).join(old.select(key), key, "left_anti")
+    return old.unionByName(fresh, allowMissingColumns=True)
+
+
 def event_row(type_: Column, detail: Column, at: Column) -> Column:
     return F.struct(type_.alias("type"), F.left(detail, F.lit(1000)).alias("detail"), at.alias("created_at"))
 
 
+#: Which state may follow which; `running` to `pending` is a retry.
+NEXT = {"pending": ("running", "error"), "running": ("done", "error", "pending"), "done": (), "error": ()}
+
+
+def refused(state: DataFrame, changes: DataFrame) -> DataFrame:
+    """(id, status, to) of changes that the present state forbids, or whose job is unknown."""
+    j = changes.select("id", "to").join(state.select("id", "status"), "id", "left")
+    allowed = F.lit(False)
+    for a, following in NEXT.items():
+        allowed = allowed | ((F.col("status") == a) & F.col("to").isin(*following)) if following else allowed
+    return j.where(~F.coalesce(allowed, F.lit(False))).select("id", "status", "to")
+
+
+def permitted(state: DataFrame, changes: DataFrame) -> DataFrame:
+    """The changes that the present state allows."""
+    return changes.join(refused(state, changes).select("id", "to"), ["id", "to"], "left_anti")
+
+
 def transition(state: DataFrame, changes: DataFrame) -> DataFrame:
-    """The job table after changes (id, to, at, error): running counts an attempt, pending clears the start, error keeps 1000 characters."""
-    c = changes.select("id", "to", "at", F.col("error").alias("__error"))
+    """The job table after changes that are permitted (id, to, at, error): running counts an attempt, pending clears the start, error keeps 1000 characters."""
+    c = permitted(state, changes).select("id", "to", "at", F.col("error").alias("__error"))
     j = state.join(c, "id", "left")
     to = F.col("to")
     return j.select(*(

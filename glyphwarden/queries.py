@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 from .functions import codepoints as cp
 from .functions import spans
 from .functions import text as tx
-from .operators import features, marking, payloads, report, sanitize, scan, segments, signals, style, training
-from .plans import analytics, store
+from .operators import features, marking, payloads, provenance, report, sanitize, scan, segments, signals, style, training
+from .plans import analytics, service, store
 from .plans.analysis import analyse, analyse_distinct
-from .sources import extract
+from .sources import extract, samples
 
 HOUR = 3_600_000
 START = 1_700_000_000_000
@@ -52,9 +52,8 @@ def carried_text(i: Column, t: Column) -> Column:
 
 
 def carried(spark: SparkSession, d: str) -> DataFrame:
-    """A batch goes through Python unchanged, so that the long expression above is worked out once and not folded into every use."""
-    made = docs(spark, d).select("doc_id", carried_text(F.col("doc_id"), F.col("text")).alias("text"))
-    return made.mapInArrow(lambda batches: batches, made.schema)
+    """let() keeps the long expression above from being folded into every use."""
+    return docs(spark, d).select("doc_id", tx.let(F.struct("doc_id", "text"), lambda x: carried_text(x["doc_id"], x["text"])).alias("text"))
 
 
 def analyses(spark: SparkSession, d: str) -> DataFrame:
@@ -192,7 +191,7 @@ def q_trace_all(s, d):
 def q_signals(s, d):
     # not explode(): for it Spark infers a filter on the whole signals expression and pushes that below every step
     x = signals.signals(carried(s, d)).select("doc_id", F.explode_outer("signals").alias("g")).select("doc_id", "g.*")
-    return x.where("category <> 'stylistic'").select("doc_id", "id", F.round("score", 6).alias("score"), "weight", "severity")
+    return x.where("id is not null").select("doc_id", "id", F.round("score", 6).alias("score"), "weight", "severity")
 
 
 def q_watermark(s, d):
@@ -274,28 +273,34 @@ def q_paragraphs(s, d):
 
 
 def q_windows(s, d):
-    return segments.window_rows(docs(s, d)).select("doc_id", "idx", "start_offset", "end_offset")
+    return segments.window_rows(docs(s, d)).select("doc_id", "idx", "start_offset", "end_offset", "n_words")
+
+
+def measured(s, d) -> DataFrame:
+    """The cleaned documents with their measures and the layout traits of profiles."""
+    cleaned = docs(s, d).select("doc_id", spans.cleaned(F.col("text")).alias("text"))
+    return features.with_layout(features.measure(cleaned)).drop("text")
 
 
 def q_features(s, d):
-    return features.measure(docs(s, d)).drop("text")
+    return measured(s, d).drop("language_confidence", "bold_run_rate", "opening_pleasantry")
 
 
 def q_style(s, d):
-    return style.style_score(features.measure(docs(s, d))).select("doc_id", "style_value", "style_low", "style_high", "style_label", "style_confidence")
+    return style.style_score(measured(s, d)).select("doc_id", "style_value", "style_low", "style_high", "style_label", "style_confidence")
 
 
 def q_contributions(s, d):
-    return style.contributions(features.measure(docs(s, d)))
+    return style.contributions(measured(s, d))
 
 
 def q_profiles(s, d):
-    return style.profiles(features.measure(docs(s, d)))
+    return style.profiles(measured(s, d))
 
 
 def q_segments(s, d):
-    c = carried(s, d)
-    return segments.segments(features.detect_language(c), scan.char_hits(c)).drop("preview")
+    c = features.detect_language(carried(s, d))
+    return segments.segments(c).drop("preview")
 
 
 def q_segment_hits(s, d):
@@ -476,6 +481,274 @@ def q_cv(s, d):
     return training.cross_validated(_labelled(s, d))
 
 
+# -- look-ups, checks, sweeps and what surrounds an analysis ------------------------------------------------------
+
+
+def q_manifests(s, d):
+    """Manifests made from documents: a third without, one in seven unreadable, actions and sources by id."""
+    i = F.col("doc_id")
+    source = F.when(i % 3 == 0, "http://cv.iptc.org/newscodes/digitalsourcetype/trainedAlgorithmicMedia").when(i % 3 == 1, "http://cv.iptc.org/newscodes/digitalsourcetype/digitalCapture")
+    action = F.struct(F.lit("c2pa.created").alias("action"), source.alias("digitalSourceType"))
+    edited = F.struct(F.lit("c2pa.edited").alias("action"), F.lit(None).cast("string").alias("digitalSourceType"))
+    label = F.when(i % 5 == 0, "stds.exif").otherwise("c2pa.actions.v2")
+    one = F.struct(
+        F.concat(F.lit("title "), i.cast("string")).alias("title"), F.array(F.struct(F.col("source").alias("name"))).alias("claim_generator_info"), F.struct(F.col("lang").alias("common_name"), F.lit("CA").alias("issuer"), F.lit("es256").alias("alg")).alias("signature_info"),
+        F.array(F.struct(F.lit("stds.schema-org").alias("label"), F.struct(F.array(edited).alias("actions")).alias("data")), F.struct(label.alias("label"), F.struct(F.array(action, edited).alias("actions")).alias("data"))).alias("assertions"),
+    )
+    made = F.to_json(F.struct(F.lit("urn:1").alias("active_manifest"), F.create_map(F.lit("urn:1"), one).alias("manifests")))
+    state = F.when(i % 4 == 0, "Trusted").when(i % 4 == 1, "Valid").when(i % 4 == 2, "Invalid")
+    failures = F.when(i % 4 == 2, F.lit('{"activeManifest": {"failure": [{"code": "assertion.hashedURI.mismatch"}]}}'))
+    files = load(s, d, "documents").select("doc_id", F.when(i % 9 < 3, F.lit(None)).when(i % 7 == 0, F.lit("not json")).otherwise(made).alias("manifest"), state.alias("state"), failures.alias("results"))
+    r = provenance.inspect(files)
+    return r.select("doc_id", "present", "integrity", "trust", "raw_state", "generator", "signer", "issuer", "algorithm", "title", "ai_declared", F.array_join("actions", ",").alias("actions"), F.array_join("failures", ",").alias("failures"), F.size("notes").alias("n_notes"), "reason")
+
+
+def q_trust_anchors(s, d):
+    pem = F.repeat(F.lit("-----BEGIN CERTIFICATE-----\nMII\n-----END CERTIFICATE-----\n"), (F.col("doc_id") % 5).cast("int"))
+    return load(s, d, "documents").select("doc_id", provenance.trust_anchors(pem).alias("n"))
+
+
+def q_feature_values(s, d):
+    return features.unpivoted(measured(s, d))
+
+
+def q_marked_pieces(s, d):
+    c = carried(s, d)
+    pieces = segments.marked_characters(c, scan.char_hits(c).select("doc_id", F.col("offset").alias("at")))
+    return pieces.groupBy("doc_id").agg(F.count("*").alias("pieces"), F.sum(F.col("marked").cast("int")).alias("marked"), F.sum("length").alias("chars"))
+
+
+def q_page_total(s, d):
+    return service.page_total(analyses(s, d), "w3", "done")
+
+
+def q_day_bars(s, d):
+    return service.scaled(analytics.daily(analyses(s, d), START + 150 * HOUR))
+
+
+def q_summary_page(s, d):
+    rows = service.to_summary(service.summary_rows(analyses(s, d), metrics(s, d)).where("workspace_id = 'w2'"))
+    return rows.select("id", "status", "submitted_at", "finished_at", "title", "risk", "verdict")
+
+
+def q_lookup(s, d):
+    return service.one(analyses(s, d), "a0000000010", "w3").select("id", "workspace_id", "status", "text_sha256")
+
+
+def blobs(s, d) -> DataFrame:
+    """Uploads as the object store names them."""
+    i = F.col("doc_id")
+    kinds = ["notes.TXT", "pa/ge.html", "scan.pdf", "archive.zip", "no extension", " table.csv", "\u0001odd.json", ""]
+    name = F.element_at(F.array(*(F.lit(k) for k in kinds)), (i % 8 + 1).cast("int"))
+    return load(s, d, "documents").select("doc_id", F.concat(F.lit("uploads/w"), (i % 7).cast("string"), F.lit("/"), F.lpad(i.cast("string"), 8, "0")).alias("path"), name.alias("name"), F.when(i % 12 == 5, 0).otherwise(F.octet_length("text")).cast("long").alias("size"))
+
+
+def q_prefix(s, d):
+    return extract.has_prefix(blobs(s, d), "uploads/w3/").select("path")
+
+
+def q_uploads(s, d):
+    return extract.validated_uploads(blobs(s, d), most=9000).select("doc_id", "clean_name", "extension", "refused")
+
+
+def q_result_cache(s, d):
+    i = F.col("doc_id")
+    kept = load(s, d, "documents").select(i.alias("id"), F.concat(F.lit('{"stored": '), i.cast("string"), F.lit("}")).alias("result"))
+    fresh = load(s, d, "documents").where("doc_id % 2 = 0").select(
+        i.alias("id"), F.when(i % 6 == 0, "{broken").when(i % 10 == 0, F.concat(F.lit('"'), F.repeat(F.lit("x"), 1_000_000), F.lit('"'))).otherwise(F.concat(F.lit('{"cached": '), i.cast("string"), F.lit("}"))).alias("result"),
+        (START - (i % 9) * 600_000).alias("cached_at"),
+    )
+    return service.read_through(kept, fresh, START)
+
+
+def q_markers(s, d):
+    return docs(s, d).select("doc_id", F.sha2(samples.with_markers(F.col("text")), 256).alias("sha256"))
+
+
+def mark_requests(s, d) -> DataFrame:
+    i = F.col("doc_id")
+    who = F.when(i % 6 == 0, F.array().cast("array<string>")).when(i % 6 == 1, F.array(F.lit("a"), F.lit(" "))).when(i % 6 == 2, F.array(F.lit("a"), F.lit("b"), F.lit("a"))).otherwise(F.transform(F.sequence(F.lit(1), (i % 120 + 1).cast("int")), lambda k: F.concat(F.lit("r"), k.cast("string"))))
+    return load(s, d, "documents").select("doc_id", who.alias("who"), F.repeat(F.lit("x"), (i % 140).cast("int")).alias("template"), F.when(i % 5 == 0, "smoke").otherwise("tag_characters").alias("channel"), (i % 25).cast("int").alias("repeat"))
+
+
+def q_mark_requests(s, d):
+    return mark_requests(s, d).select("doc_id", marking.request_refusal(F.col("who"), F.col("template"), F.col("channel"), F.col("repeat")).alias("refused"))
+
+
+def q_recipients(s, d):
+    names = marking.parse_recipients(F.concat(F.col("source"), F.lit(", "), F.col("lang"), F.lit("\n\n ,"), F.when(F.col("doc_id") % 2 == 0, F.col("lang")).otherwise("z"), F.lit(" ")))
+    x = load(s, d, "documents").select("doc_id", names.alias("names"))
+    return x.select("doc_id", F.array_join("names", "|").alias("names"), marking.has_duplicates(F.col("names")).alias("twice"))
+
+
+def q_copies(s, d):
+    return marking.distinct_copies(marking.mark_copies(docs(s, d), RECIPIENTS, "WF-{index:03d}"))
+
+
+def busy(s, d) -> DataFrame:
+    """The job table with more attempts spent."""
+    return analyses(s, d).withColumn("attempts", (F.col("attempts") + F.col("char_count") % 3).cast("int"))
+
+
+def q_sweep(s, d):
+    return service.sweep(busy(s, d), START + 400 * HOUR, 90_000)
+
+
+def q_refused(s, d):
+    a = analyses(s, d)
+    wanted = F.element_at(F.array(*(F.lit(x) for x in store.STATUSES)), (F.col("char_count") % 4 + 1).cast("int"))
+    return store.refused(a, a.select("id", wanted.alias("to")).unionByName(s.createDataFrame([("nobody", "done")], "id string, to string")))
+
+
+def q_failures(s, d):
+    x = busy(s, d).where("status = 'running'").withColumn("message", F.concat(F.lit("timeout "), F.col("id")))
+    return service.after_failure(x).select("id", "to", "event", "detail")
+
+
+def q_retries(s, d):
+    codes = F.element_at(F.array(*(F.lit(c) for c in (200, 400, 404, 408, 429, 500, 503, 504))), (F.col("event_id") % 8 + 1).cast("int"))
+    x = load(s, d, "events").select("event_id", codes.alias("status"), (F.col("event_id") % 4).cast("int").alias("attempt"))
+    return service.retry_plan(x)
+
+
+def q_poll(s, d):
+    return s.createDataFrame([(i, t) for i, t in enumerate(service.poll_times())], "step int, at_ms int")
+
+
+def q_insert(s, d):
+    a = analyses(s, d).select("id", "workspace_id", "status", "created_at")
+    old, new = a.where("status = 'done'"), a.withColumn("status", F.lit("pending"))
+    return store.insert(old, new.unionByName(new.where("workspace_id = 'w1'")))
+
+
+def q_delete_all(s, d):
+    a = analyses(s, d)
+    segs = scored_windows(s, d).select(F.concat(F.lit("a"), F.lpad(F.col("doc_id").cast("string"), 10, "0")).alias("analysis_id"), "idx")
+    reports = a.where("status = 'done'").select(F.concat(F.lit("r"), "id").alias("id"), F.col("id").alias("analysis_id"))
+    left = store.delete_cascade({"analyses": a, "analysis_metrics": metrics(s, d), "analysis_segments": segs, "reports": reports}, a.where("workspace_id = 'w5'").select("id"))
+    out = None
+    for name, t in left.items():
+        n = t.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
+        out = n if out is None else out.unionByName(n)
+    return out
+
+
+def q_event_log(s, d):
+    x = docs(s, d).select("doc_id", store.event_row(F.lit("analysis.completed"), F.col("text"), START + F.col("doc_id")).alias("e"))
+    return x.select("doc_id", "e.type", F.length("e.detail").alias("detail_chars"), "e.created_at")
+
+
+def q_report_checks(s, d):
+    i = F.col("doc_id")
+    x = docs(s, d).select("doc_id", F.left("text", (i % 260).cast("int")).alias("title"), F.col("text").alias("notes"), F.when(i % 9 == 0, "Bad Id").when(i % 10 != 3, F.concat(F.lit("a"), i.cast("string"))).alias("analysis_id"))
+    return analytics.validated_reports(x).select("doc_id", "refused")
+
+
+def q_blend(s, d):
+    x = style.style_score(measured(s, d)).withColumn("signal", F.when(F.col("doc_id") % 3 > 0, (F.col("doc_id") % 11) / 10.0))
+    return style.blended(x, "signal").select("doc_id", "style_value", "style_low", "style_high")
+
+
+def q_surprisal(s, d):
+    v = F.transform(F.sequence(F.lit(1), (F.col("doc_id") % 40 + 1).cast("int")), lambda k: 2.0 + (k * 7 + F.col("doc_id")) % 13 / 4.0)
+    x = load(s, d, "documents").select("doc_id", style.surprisal_summary(v).alias("p"))
+    return x.select("doc_id", "p.available", F.round("p.mean", 3).alias("mean"), F.round("p.cv", 3).alias("cv"), F.round("p.signal", 3).alias("signal"))
+
+
+def q_heat(s, d):
+    return scored_windows(s, d).select("doc_id", "idx", service.heat_alpha(F.col("llm_likelihood")).alias("alpha"), service.clamped(F.col("end_offset"), 1000).alias("shown"))
+
+
+def q_warnings(s, d):
+    c = carried(s, d).withColumn("format", F.when(F.col("doc_id") % 3 == 0, "PDF").when(F.col("doc_id") % 3 == 1, "docx"))
+    r = analyse(c, source_format="format").select("doc_id", F.explode_outer("warnings").alias("w"))
+    return r.groupBy("doc_id").agg(F.coalesce(F.max(F.col("w").contains("40 words")), F.lit(False)).alias("short"), F.coalesce(F.max(F.col("w").contains("format")), F.lit(False)).alias("lossy"))
+
+
+def q_evidence(s, d):
+    x = signals.signals(carried(s, d)).select("doc_id", F.explode_outer("signals").alias("g")).where("g.id is not null")
+    return x.where("g.category <> 'stylistic'").select("doc_id", F.col("g.id").alias("id"), F.size("g.evidence").alias("shown"), F.col("g.evidence_total").alias("total"), F.get(F.filter("g.evidence", lambda e: e["offset"].isNotNull()), F.lit(0))["offset"].alias("first_offset"))
+
+
+def q_payload_spans(s, d):
+    p = signals.signals(carried(s, d)).select("doc_id", F.explode_outer("payloads").alias("p")).where("p.channel is not null")
+    return p.select("doc_id", "p.channel", "p.text", "p.carrier_count", "p.first_offset", "p.last_offset")
+
+
+def q_sanitize_reasons(s, d):
+    return sanitize.audit(carried(s, d)).groupBy("doc_id", "decision", "reason").agg(F.count("*").alias("n"))
+
+
+def q_sanitize_warnings(s, d):
+    return sanitize.warnings(carried(s, d)).select("doc_id", F.size("warnings").alias("n"), F.array_join("warnings", "; ").alias("said"))
+
+
+def q_context_all(s, d):
+    return scan.char_hits(carried(s, d), with_context=True).select("doc_id", "offset", "category", "context")
+
+
+def q_typos_all(s, d):
+    return docs(s, d).select("doc_id", features.typo_hits(F.col("text"), F.lower("text")).alias("slips"), tx.matches(F.col("text"), features.SPACE_BEFORE).alias("space_before"))
+
+
+def q_layout(s, d):
+    t = F.col("text")
+    return docs(s, d).select("doc_id", tx.matches(t, r"(?m)^\s*(#{1,6}\s+\S|\*\*[^*\n]+\*\*\s*$)").alias("headings"), tx.matches(t, r"\*\*[^*\n]+\*\*").alias("bold"), tx.matches(t, r"\S+").alias("tokens"), tx.preview(t, 60).alias("preview"))
+
+
+def q_reused_own(s, d):
+    a = analyses(s, d)
+    new = a.where("status = 'done'").withColumn("id", F.concat(F.lit("n"), "id"))
+    return analytics.split_submissions(new, a)[0].select("id", "reused_id")
+
+
+def q_exhausted_two(s, d):
+    return analytics.exhausted(busy(s, d), most_attempts=2, limit=40).select("id", "status", "attempts", "created_at")
+
+
+def q_validate_default(s, d):
+    x = docs(s, d).select("doc_id", F.when(F.col("doc_id") % 17 == 0, F.repeat("text", 400)).otherwise(F.col("text")).alias("text"), F.lit("forensic").alias("mode"))
+    return analytics.validated(x).select("doc_id", "refused")
+
+
+def q_sources(s, d):
+    x = load(s, d, "documents").join(load(s, d, "labels").select("doc_id", "quality"), "doc_id")
+    return training.sources_of(x).select(F.array_join("sources", ",").alias("sources"), "n")
+
+
+def q_classes(s, d):
+    return training.class_counts(load(s, d, "labels").withColumnRenamed("quality", "label"))
+
+
+def q_fold_means(s, d):
+    return training.fold_means(training.cross_validated(_labelled(s, d)))
+
+
+def q_tokens_signed(s, d):
+    x = load(s, d, "documents").select("doc_id", F.concat(F.lit("w"), F.col("doc_id").cast("string")).alias("id")).withColumn("token", service.signed(F.col("id"), "secret"))
+    bad = F.when(F.col("doc_id") % 5 == 0, F.concat("token", F.lit("x"))).otherwise(F.col("token"))
+    return x.select("doc_id", service.verified(bad, "secret").alias("id"))
+
+
+def q_judged(s, d):
+    return service.judged_by(measured(s, d), None).select("doc_id", "style_value", "style_label", "style_model", "style_trained")
+
+
+def q_segment_scores(s, d):
+    """Segments of the analysis, with the mean of their scores by words."""
+    return segments.weighted_mean(segments.segments(features.detect_language(carried(s, d)))).select("doc_id", "n_segments", F.round("mean_score", 4).alias("mean_score"))
+
+
+MORE = {
+    "provenance_manifests": q_manifests, "trust_anchor_count": q_trust_anchors, "feature_values": q_feature_values, "marked_pieces": q_marked_pieces, "page_total": q_page_total, "day_bars": q_day_bars, "summary_page": q_summary_page,
+    "analysis_lookup": q_lookup, "prefix_lookup": q_prefix, "upload_checks": q_uploads, "result_cache": q_result_cache, "marker_watermark": q_markers, "mark_requests": q_mark_requests, "recipient_lists": q_recipients, "distinct_copies": q_copies,
+    "job_sweep": q_sweep, "refused_transitions": q_refused, "failed_runs": q_failures, "retry_plan": q_retries, "poll_times": q_poll, "insert_analyses": q_insert, "delete_cascade_all": q_delete_all, "event_log": q_event_log,
+    "report_checks": q_report_checks, "style_blend": q_blend, "surprisal_signal": q_surprisal, "heat_alpha": q_heat, "analysis_warnings": q_warnings, "signal_evidence": q_evidence, "payload_spans": q_payload_spans,
+    "sanitize_reasons": q_sanitize_reasons, "sanitize_warnings": q_sanitize_warnings, "char_context_all": q_context_all, "typo_counts_all": q_typos_all, "text_layout": q_layout, "dedup_reused_own": q_reused_own,
+    "exhausted_after_two": q_exhausted_two, "input_validation_default": q_validate_default, "corpus_sources": q_sources, "class_counts": q_classes, "cv_means": q_fold_means, "workspace_tokens": q_tokens_signed,
+    "style_judged": q_judged, "segment_mean_score": q_segment_scores,
+}
+
 QUERIES = {
     "payload_tag_decode": payload_decode(0, payloads.decode_tag), "payload_vs_decode": payload_decode(1, payloads.decode_selectors), "payload_zwb_decode": payload_decode(2, payloads.decode_zero_width),
     "payload_tag_decode_all": payload_decode_all(payloads.decode_tag), "payload_vs_decode_all": payload_decode_all(payloads.decode_selectors), "payload_zwb_decode_all": payload_decode_all(payloads.decode_zero_width), "trace_leak_all": q_trace_all,
@@ -494,4 +767,6 @@ QUERIES = {
     "train_style": q_train, "cv_metrics": q_cv,
 }
 
+QUERIES |= MORE
+
 __all__ = ["QUERIES", "cp"]

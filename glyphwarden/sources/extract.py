@@ -1,7 +1,7 @@
 """Reading documents: binary files, HTML, JSON, DOCX and JSON lines.
 
-Bytes come from Spark's binaryFile source, so any store Spark reads will do.  What needs a
-library that may be absent (PDF) gives a row with its reason instead of an error.
+Bytes come from Spark's binaryFile source, so any store Spark reads will do.  What
+can't be read gives a row with its reason instead of an error.
 """
 
 from __future__ import annotations
@@ -16,12 +16,14 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+
+from .pdf import PdfError, pdf_pages
 
 # Extensions by way of reading.
 PLAIN = ("txt", "md", "markdown", "csv", "tsv", "log", "rst", "")
 LOSSY = ("pdf", "html")
-ALLOWED = ("txt", "md", "markdown", "csv", "tsv", "log", "rst", "json", "html", "htm", "pdf", "docx")
+ALLOWED = tuple(sorted({x for x in PLAIN if x} | {"json", "html", "htm", "pdf", "docx"}))
 # Tags that begin a line, tags whose end begins one, tags whose content is not text.
 BEGINS = frozenset("p br div li tr h1 h2 h3 h4 h5 h6".split())
 ENDS = frozenset("p div li tr".split())
@@ -92,15 +94,25 @@ def plain_text(data: bytes) -> str:
     return data.decode("latin-1")
 
 
-def extract_one(data: bytes, name: str) -> tuple[str | None, str, str | None]:
-    """(text, format, reason why there is none)."""
-    ext = name.lower().strip().rpartition(".")[2] if "." in name else ""
+def base_name(path: str) -> str:
+    """The file name of a path or URI."""
+    return path.replace("\\", "/").rstrip("/").rpartition("/")[2]
+
+
+def extract_one(data: bytes, name: str) -> tuple[str | None, str, str | None, int | None]:
+    """(text, format, reason why there is no text, pages) of a file; name may be a path."""
+    name = base_name(name).lower().strip()
+    ext = name.rpartition(".")[2] if "." in name else ""
     if not data:
-        return None, ext, "empty file"
+        return None, ext, "empty file", None
+    pages = None
     try:
         if ext == "pdf" or data[:5] == b"%PDF-":
-            return None, "pdf", "no PDF reader is installed"
-        if ext == "docx" or (data[:4] == b"PK\x03\x04" and ext not in PLAIN):
+            found = pdf_pages(data)
+            text, kind, pages = "\n\n".join(found), "pdf", len(found)
+            if not text.strip():
+                return None, "pdf", "no text: the pages may be scans", pages
+        elif ext == "docx" or (data[:4] == b"PK\x03\x04" and ext not in PLAIN):
             text, kind = docx_text(data), "docx"
         elif ext in ("html", "htm"):
             text, kind = html_text(plain_text(data)), "html"
@@ -109,18 +121,19 @@ def extract_one(data: bytes, name: str) -> tuple[str | None, str, str | None]:
         elif ext in PLAIN:
             text, kind = plain_text(data), "text"
         else:
-            return None, ext, "unsupported file type"
-    except (ValueError, KeyError, AttributeError, zipfile.BadZipFile, ElementTree.ParseError) as e:
-        return None, ext, f"unreadable: {type(e).__name__}"
-    return (text, kind, None) if text.strip() else (None, kind, "no text")
+            return None, ext, "unsupported file type", None
+    except (ValueError, KeyError, AttributeError, TypeError, RecursionError, zipfile.BadZipFile, ElementTree.ParseError) as e:
+        return None, ext, f"unreadable: {e if isinstance(e, PdfError) else type(e).__name__}", None
+    return (text, kind, None, pages) if text.strip() else (None, kind, "no text", pages)
 
 
-_EXTRACTED = StructType([StructField("text", StringType()), StructField("format", StringType()), StructField("reason", StringType())])
+_EXTRACTED = StructType([StructField("text", StringType()), StructField("format", StringType()), StructField("reason", StringType()), StructField("pages", IntegerType())])
 
 
 @F.pandas_udf(_EXTRACTED)
 def _extract(data: pd.Series, name: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([extract_one(bytes(d or b""), n or "") for d, n in zip(data, name, strict=True)], columns=["text", "format", "reason"])
+    rows = [extract_one(bytes(d or b""), n or "") for d, n in zip(data, name, strict=True)]
+    return pd.DataFrame(rows, columns=["text", "format", "reason", "pages"]).astype({"pages": "Int32"})
 
 
 @F.pandas_udf(StringType())
@@ -130,19 +143,36 @@ def html_udf(s: pd.Series) -> pd.Series:
 
 @F.pandas_udf(StringType())
 def json_udf(s: pd.Series) -> pd.Series:
-    return s.map(json_strings, na_action="ignore")
+    def read(text: str) -> str | None:
+        try:
+            return json_strings(text)
+        except (ValueError, RecursionError):
+            return None
+
+    return s.map(read, na_action="ignore")
 
 
 def extracted(files: DataFrame, content: str = "content", name: str = "path", most: int = MOST_CHARS) -> DataFrame:
-    """files with text, format, truncated, chars and, where there is no text, reason."""
+    """files with text, format, pages, truncated, chars, notes and, where there is no text, reason."""
     df = files.withColumn("__e", _extract(F.col(content), F.col(name)))
     whole = F.col("__e.text")
+    long = F.coalesce(F.length(whole) > most, F.lit(False))
+    notes = F.filter(F.array(F.when(long, F.format_string("cut to %d of %d characters", F.lit(most), F.length(whole))), lossy_note(F.col("__e.format"))), lambda n: n.isNotNull())
     return df.withColumns({
-        "text": F.left(whole, F.lit(most)), "format": F.col("__e.format"), "truncated": F.coalesce(F.length(whole) > most, F.lit(False)),
-        "chars": F.least(F.length(whole), F.lit(most)), "reason": F.col("__e.reason"),
+        "text": F.left(whole, F.lit(most)), "format": F.col("__e.format"), "pages": F.col("__e.pages"), "truncated": long,
+        "chars": F.least(F.length(whole), F.lit(most)), "notes": notes, "reason": F.col("__e.reason"),
     }).drop("__e")
 
 
+def validated_uploads(files: DataFrame, name: str = "name", size: str = "size", most: int = 10_000_000) -> DataFrame:
+    """files with a clean name, its extension, and the reason why an upload is refused."""
+    clean = F.coalesce(clean_name(F.col(name)), F.lit("upload.txt"))
+    ext = extension(F.col("clean_name"))
+    return files.withColumn("clean_name", clean).withColumn("extension", ext).withColumn(
+        "refused", F.when(~F.col("extension").isin(*ALLOWED), "unsupported file type").when(F.col(size) > most, "file too large").when(F.coalesce(F.col(size), F.lit(0)) == 0, "empty file")
+    )
+
+
 def read_files(spark: SparkSession, path: str, most: int = MOST_CHARS) -> DataFrame:
     return extracted(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path), most=most).drop("content")
 
@@ -152,8 +182,9 @@ def lossy_note(source_format: Column) -> Column:
 
 
 def clean_name(name: Column) -> Column:
-    """A file name without control characters and slashes, 200 characters at most."""
-    return F.left(F.trim(F.regexp_replace(name, r"[\x00-\x1F\x7F/\\]", "")), F.lit(200))
+    """A file name without control characters, slashes as underscores, 200 characters at most; null where nothing is left."""
+    clean = F.left(F.trim(F.regexp_replace(F.regexp_replace(name, r"[\x00-\x1F\x7F]", ""), r"[/\\]", "_")), F.lit(200))
+    return F.when(F.length(clean) > 0, clean)
 
 
 def extension(name: Column) -> Column:
@@ -175,3 +206,8 @@ def read_corpus(spark: SparkSession, path: str, least_tokens: int = 40) -> DataF
 def write_by_workspace(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """A folder for each workspace, as the object store had a prefix for each."""
     df.write.partitionBy("workspace_id").mode("append").format(fmt).save(path)
+
+
+def has_prefix(files: DataFrame, prefix: str, name: str = "path") -> DataFrame:
+    """At most one of the files below a prefix, the least by name."""
+    return files.where(F.startswith(F.col(name), F.lit(prefix))).orderBy(name).limit(1)

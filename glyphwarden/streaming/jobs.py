@@ -33,10 +33,11 @@ def first_submissions(submissions: DataFrame, late: str = "1 hour") -> DataFrame
 
 
 def run_batch(batch: DataFrame, batch_id: int, out: str) -> None:
-    """Analyse a micro-batch and append results and job rows, marked with the batch."""
-    done = analyse(batch, "id", "text").select("id", "watermark_score", "watermark_label", "style_value", "risk_score", "n_words")
-    joined = batch.select("id", "workspace_id", "mode").join(done, "id")
-    joined.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/results/batch={batch_id}")
+    """Analyse a micro-batch and write results, marked with the batch: one pass, rows of a repeated id stay rows."""
+    keep = ["workspace_id", "mode"]
+    packed = batch.select(F.struct("id", *keep).alias("id"), "text")
+    done = analyse(packed, "id", "text").select("id.*", "watermark_score", "watermark_label", "style_value", "risk_score", "n_words")
+    done.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/results/batch={batch_id}")
 
 
 def start(submissions: DataFrame, out: str, checkpoint: str, once: bool = False) -> StreamingQuery:
