@@ -10,7 +10,7 @@ from ..functions.text import let, matches, printable_ratio
 
 CHANNELS = ("tag_characters", "variation_selectors", "zero_width_binary")
 # Which zero-width character says 0 and which 1, in the order tried.
-ALPHABETS = (("​", "‌"), ("‌", "​"), ("​", "‍"), ("‍", "​"), ("‌", "‍"), ("⁠", "​"))
+ALPHABETS = (("\u200b", "\u200c"), ("\u200c", "\u200b"), ("\u200b", "\u200d"), ("\u200d", "\u200b"), ("\u200c", "\u200d"), ("\u2060", "\u200b"))
 NOTES = {"tag_characters": "Unicode tag block (U+E0000-U+E007F)", "variation_selectors": "Variation selector byte encoding (VS1-VS256)"}
 # Signs that a message may hold beside letters, digits and white space.
 MESSAGE_SIGNS = r"\-_.:;,/|@#()\[\]{}+=*?!'\"<>%$&~^`"
@@ -91,25 +91,22 @@ def _octets(bits: Column, n: Column) -> Column:
 def decode_zero_width(text: Column) -> Column:
     """The alphabet of the best printable ratio wins, the first of equal ones."""
     every = "".join(sorted({c for pair in ALPHABETS for c in pair}))
-    def candidate(bits: Column, i: int) -> Column:
-        zero, one = ALPHABETS[i]
-        note = F.lit(f"8-bit groups, 0=U+{ord(zero):04X} 1=U+{ord(one):04X}")
-        n = (F.length(bits) / 8).cast("int")
-        found = F.when(n >= 2, _text_of(F.when(n >= 2, _octets(bits, n)), "zero_width_binary", note, n, n * 8, speculative=True))
-        return let(found, lambda p: F.when(p.isNotNull(), F.struct(p["printable_ratio"].alias("r"), F.lit(-i).alias("i"), p.alias("p"))))
+    tried = F.array(*(F.struct(F.lit(zero).alias("zero"), F.lit(one).alias("one"), F.lit(-i).alias("i"), F.lit(f"8-bit groups, 0=U+{ord(zero):04X} 1=U+{ord(one):04X}").alias("note")) for i, (zero, one) in enumerate(ALPHABETS)))
 
     def read(carriers: Column) -> Column:
-        found = []
-        for i, (zero, one) in enumerate(ALPHABETS):
-            bits = F.translate(F.regexp_replace(carriers, f"[^{zero}{one}]", ""), zero + one, "01")
-            found.append(let(bits, _numbered(candidate, i)))
-        return F.array_max(F.filter(F.array(*found), lambda x: x.isNotNull()))["p"]
+        def candidate(a: Column) -> Column:
+            def of(bits: Column) -> Column:
+                n = (F.length(bits) / 8).cast("int")
+                found = F.when(n >= 2, _text_of(F.when(n >= 2, _octets(bits, n)), "zero_width_binary", a["note"], n, n * 8, speculative=True))
+                return let(found, lambda p: F.when(p.isNotNull(), F.struct(p["printable_ratio"].alias("r"), a["i"].alias("i"), p.alias("p"))))
 
-    return F.when(text.rlike(f"[{every}]"), let(F.regexp_replace(text, f"[^{every}]", ""), read))
+            own = F.regexp_replace(carriers, F.concat(F.lit("[^"), a["zero"], a["one"], F.lit("]")), F.lit(""))
+            return let(F.call_function("translate", own, F.concat(a["zero"], a["one"]), F.lit("01")), of)
 
+        # one expression for all alphabets, not one for each
+        return F.array_max(F.filter(F.transform(tried, candidate), lambda x: x.isNotNull()))["p"]
 
-def _numbered(body, i: int):
-    return lambda x: body(x, i)
+    return F.when(text.rlike(f"[{every}]"), let(F.regexp_replace(text, f"[^{every}]", ""), read))
 
 
 def decode_all(text: Column) -> Column:

@@ -45,22 +45,24 @@ PROFILES = {
 MOST_ALIKE = 0.85
 
 
-def z_score(feature: str) -> Column:
+def _z(feature: str) -> str:
     mean, sd, _ = PRIOR[feature]
-    return F.greatest(F.lit(-CLIP), F.least(F.lit(CLIP), (F.col(feature) - mean) / sd))
+    return f"greatest(-{CLIP}D, least({CLIP}D, ({feature} - {mean}D) / {sd}D))"
 
 
-def contribution(feature: str) -> Column:
-    out = z_score(feature) * (PRIOR[feature][2] * TEMPERATURE)
-    return F.when(F.col("language") == "en", out).otherwise(0.0) if feature == "contraction_rate" else out
+def _part(feature: str) -> str:
+    """What a measure adds to the log-odds, as SQL: one string costs less to build than its many Columns."""
+    part = f"{_z(feature)} * {PRIOR[feature][2] * TEMPERATURE!r}D"
+    return f"if(language = 'en', {part}, 0D)" if feature == "contraction_rate" else part
 
 
 def contribution_array(most: int = 10) -> Column:
     """array<struct<feature,value,z,contribution,direction>> of the strongest, by size; English contractions count in English alone."""
-    every = F.array(*(F.struct((-F.abs(contribution(f))).alias("by"), F.lit(i).alias("i"), F.lit(f).alias("feature"), F.col(f).alias("value"), z_score(f).alias("z"), contribution(f).alias("contribution")) for i, f in enumerate(PRIOR)))
-    kept = F.filter(every, lambda c: (c["feature"] != "contraction_rate") | (F.col("language") == "en"))
-    return F.transform(F.slice(F.array_sort(kept), 1, most), lambda c: F.struct(
-        c["feature"].alias("feature"), F.round(c["value"], 4).alias("value"), F.round(c["z"], 3).alias("z"), F.round(c["contribution"], 4).alias("contribution"), F.when(c["contribution"] > 0, "assistant").otherwise("human").alias("direction")))
+    every = ", ".join(f"named_struct('by', -abs({_part(f)}), 'i', {i}, 'feature', '{f}', 'value', {f}, 'z', {_z(f)}, 'part', {_part(f)})" for i, f in enumerate(PRIOR))
+    return F.expr(
+        f"""transform(slice(array_sort(filter(array({every}), c -> c.feature <> 'contraction_rate' or language = 'en')), 1, {most}),
+            c -> named_struct('feature', c.feature, 'value', round(c.value, 4), 'z', round(c.z, 3), 'contribution', round(c.part, 4), 'direction', if(c.part > 0, 'assistant', 'human')))"""
+    )
 
 
 def contributions(docs: DataFrame, most: int = 10, key: str = "doc_id") -> DataFrame:
@@ -104,9 +106,7 @@ def judged(docs: DataFrame, value: Column, model: str, trained: bool, half: Colu
 
 def style_score(docs: DataFrame) -> DataFrame:
     """Measured docs, judged by the documented priors."""
-    total = F.lit(BIAS)
-    for f in PRIOR:
-        total = total + contribution(f)
+    total = F.expr(f"{BIAS}D + " + " + ".join(map(_part, PRIOR)))
     return judged(docs, shrunk(1 / (1 + F.exp(-total)), F.col("n_words")), "prior-logistic", False)
 
 
@@ -125,24 +125,21 @@ def style_notes(docs: DataFrame) -> Column:
     ), lambda x: x.isNotNull())
 
 
-def _penalty(observed: Column, target: float, tolerance: float, direction: str) -> Column:
-    away = {"at_least": F.greatest(F.lit(0.0), target - observed), "at_most": F.greatest(F.lit(0.0), observed - target)}.get(direction, F.abs(observed - target))
-    return F.least(F.lit(1.0), away / max(tolerance, 1e-6))
-
-
-def likeness(traits: list[tuple]) -> Column:
-    pen, weight = F.lit(0.0), F.lit(0.0)
-    for name, target, tolerance, direction, w, language in traits:
-        here = F.col("language") == language if language else F.lit(True)
-        pen = pen + F.when(here, _penalty(F.col(name), target, tolerance, direction) * w).otherwise(0.0)
-        weight = weight + F.when(here, w).otherwise(0.0)
-    return F.round(F.least(F.lit(MOST_ALIKE), F.greatest(F.lit(0.0), 1 - pen / weight)), 4)
+def likeness(traits: list[tuple]) -> str:
+    """Likeness to a profile, as SQL: 1 less the weighted mean of penalties of the traits that its language allows."""
+    penalties, weights = [], []
+    for name, target, tolerance, direction, weight, language in traits:
+        away = {"at_least": f"greatest(0D, {target}D - {name})", "at_most": f"greatest(0D, {name} - {target}D)"}.get(direction, f"abs({name} - {target}D)")
+        penalty, share = f"least(1D, {away} / {max(tolerance, 1e-6)}D) * {weight}D", f"{weight}D"
+        penalties.append(f"if(language = '{language}', {penalty}, 0D)" if language else penalty)
+        weights.append(f"if(language = '{language}', {share}, 0D)" if language else share)
+    return f"round(least({MOST_ALIKE}D, greatest(0D, 1 - ({' + '.join(penalties)}) / ({' + '.join(weights)}))), 4)"
 
 
 def profile_array(most: int = 3) -> Column:
     """array<struct<family,similarity>> of the most alike profiles, from columns of measures, bold_run_rate and opening_pleasantry."""
-    every = F.array(*(F.struct((-likeness(traits)).alias("by"), F.lit(i).alias("i"), F.lit(family).alias("family")) for i, (family, traits) in enumerate(PROFILES.items())))
-    return F.transform(F.slice(F.array_sort(every), 1, most), lambda p: F.struct(p["family"].alias("family"), (-p["by"]).alias("similarity")))
+    every = ", ".join(f"named_struct('by', -{likeness(traits)}, 'i', {i}, 'family', '{family}')" for i, (family, traits) in enumerate(PROFILES.items()))
+    return F.expr(f"transform(slice(array_sort(array({every})), 1, {most}), p -> named_struct('family', p.family, 'similarity', -p.by))")
 
 
 def profiles(docs: DataFrame, most: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
