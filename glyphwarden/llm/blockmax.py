@@ -1,15 +1,15 @@
 """An inverted index with block maxima in one process, searched for many queries at a time.
 
 Rows stand in blocks of BLOCK.  The `dense` longest lists keep the greatest impact in each
-block; the others, the short lists, are short enough to be read whole: a posting is 32 bits,
-the row above its impact in steps rounded up, so that a set of lists is read at little cost.
-For a query, the sums over short lists are bounds from above that are tight; a block's bound is
-the greatest of them in the block plus the block maxima of the long lists under the query's weights, for all
-queries and blocks one matrix product.  WAND's condition is then applied a block at a time:
-blocks of the greatest bounds are scored first and give the threshold, what the k-th best
-row reaches at least; other blocks are opened only if their bound reaches it, and of their rows only
-those that reach it themselves.  What is left is scored exactly, in double precision.
-So no row that could be among the k best is left out.
+block; the others, the short lists, are short enough to be read whole: a posting is one
+64-bit number, the row above its impact in steps of 2**-47 of the greatest, so a set of lists is read at
+little cost and its sums are exact.  A block's bound is the greatest of these sums in it plus
+the block maxima of the long lists under the query's weights, for all queries and
+blocks one matrix product.  WAND's condition is then applied a block at a time: blocks of
+the greatest bounds are scored first and give the threshold, what the k-th best row
+reaches at least; other blocks are opened only if their bound reaches it, and of their rows only
+those that reach it themselves.  What is left is scored in full, in double precision.  So no row
+that could be among the k best is left out.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ BLOCK = 4
 CELLS, FIRST = 1 << 18, 40
 #: What single precision and the rounding of long sums may add to a sum or take from it.
 ROUNDING = 2e-5
-STEPS, MOST_ROWS, COPIED = (1 << 16) - 1, 1 << 16, 64
+SHIFT, MOST_ROWS, COPIED = 48, 1 << 15, 64
 
 
 def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -46,17 +46,16 @@ class Index:
         self.table[rows[at], np.repeat(np.arange(long.size), size[long])] = impact[at]
         most = self.table.reshape(self.blocks, BLOCK, long.size).max(axis=1) if n else np.zeros((0, long.size), np.float32)
         self.most = np.nextafter(most, np.float32(np.inf)).T.copy()
-        # postings of 32 bits
-        self.step = max(float(impact.max()) if impact.size else 0.0, 1e-30) / (STEPS - 1)
-        self.postings = (rows.astype(np.uint32) << np.uint32(16)) | np.ceil(impact / self.step).astype(np.uint32)
-        self.impact = impact
+        self.step = max(float(impact.max()) if impact.size else 0.0, 1e-30) / (1 << SHIFT - 1)
+        self.postings = (rows.astype(np.int64) << SHIFT) | np.rint(impact / self.step).astype(np.int64)
         self.whole = np.zeros(self.table.shape)
         self.whole[rows[at], np.repeat(np.arange(long.size), size[long])] = impact[at]
 
-    def best(self, begins: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int, digits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def best(self, begins: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int, digits: int, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query, row, score) of all rows whose score, rounded to `digits`, may be among the k best of its query; scores above 0.
 
-        Query i asks terms[begins[i] : begins[i + 1]], each once.
+        Query i asks terms[begins[i] : begins[i + 1]], each once.  `floor` has, for each query, a score that k rows of
+        other indexes reach already, or 0.
         """
         n_queries = begins.size - 1
         step = max(1, CELLS // max(self.blocks * BLOCK, 1))
@@ -64,10 +63,10 @@ class Index:
         for lo in range(0, n_queries if self.n else 0, step):
             hi = min(lo + step, n_queries)
             own = begins[lo : hi + 1] - begins[lo]
-            found.append(self._some(lo, own, terms[begins[lo] : begins[hi]], weights[begins[lo] : begins[hi]], k, digits))
+            found.append(self._some(lo, own, terms[begins[lo] : begins[hi]], weights[begins[lo] : begins[hi]], k, digits, np.zeros(hi - lo) if floor is None else floor[lo:hi]))
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
-    def _some(self, base: int, begins: np.ndarray, terms: np.ndarray, given: np.ndarray, k: int, digits: int):
+    def _some(self, base: int, begins: np.ndarray, terms: np.ndarray, given: np.ndarray, k: int, digits: int, floor: np.ndarray):
         n, wide = begins.size - 1, self.blocks * BLOCK
         who = np.repeat(np.arange(n), np.diff(begins))
         column = self.column[terms]
@@ -81,12 +80,10 @@ class Index:
         t, w, whose, size = t[order], w[order], q[order], size[order]
         held = self._lists(t, size)
         key = np.repeat(whose * wide, size)
-        key += held >> np.uint32(16)
+        key += held >> SHIFT
         value = np.repeat(w * self.step, size)
-        value *= held & np.uint32(STEPS)
+        value *= held & ((1 << SHIFT) - 1)
         short = np.bincount(key, weights=value, minlength=n * wide).astype(np.float64, copy=False).reshape(n, wide)
-        # a sum over short lists is too high by at most a step for each weight
-        slack = np.bincount(whose, weights=w, minlength=n) * self.step
         by_block = short.reshape(n, self.blocks, BLOCK)
         bound = by_block[:, :, 0].copy()
         for i in range(1, BLOCK):
@@ -95,11 +92,11 @@ class Index:
         upper *= np.float32(1 + ROUNDING)
         bound += upper
         margin = 2 * 10.0**-digits
-        least = np.zeros(n)
-        if self.blocks > FIRST:
+        least = np.maximum(0.0, floor - margin)
+        if self.blocks > FIRST and not floor.all():
             some = np.sort(np.argpartition(bound, self.blocks - FIRST, axis=1)[:, self.blocks - FIRST :], axis=1)
             q, r = np.repeat(np.arange(n), FIRST * BLOCK), (some[:, :, None] * BLOCK + np.arange(BLOCK)).reshape(-1)
-            least = np.maximum(0.0, _kth(self._rough(weights, short, q, r).reshape(n, -1), k) * (1 - ROUNDING) - slack - margin)
+            least = np.maximum(least, _kth(self._rough(weights, short, q, r).reshape(n, -1), k) * (1 - ROUNDING) - margin)
         open_q, open_b = np.nonzero((bound >= least[:, None]) & (bound > 0))
         q, r = np.repeat(open_q, BLOCK), (open_b[:, None] * BLOCK + np.arange(BLOCK)).reshape(-1)
         own = short[q, r] + np.repeat(upper[open_q, open_b], BLOCK)
@@ -109,13 +106,12 @@ class Index:
         cuts = np.searchsorted(q, np.arange(n + 1))
         for i in np.flatnonzero(np.diff(cuts) > k).tolist():
             reached = float(_kth(scores[None, cuts[i] : cuts[i + 1]], k)[0])
-            least[i] = max(least[i], reached * (1 - ROUNDING) - slack[i] - margin)
+            least[i] = max(least[i], reached * (1 - ROUNDING) - margin)
         stay = scores * (1 + ROUNDING) >= least[q]
         q, r = q[stay], r[stay]
-        exact = self._exact(q * wide + r, key, t, w, size, n * wide)
         long = np.zeros((n, self.table.shape[1]))
         long[who[is_long], column[is_long]] = given[is_long]
-        exact += np.einsum("ij,ij->i", long[q], self.whole[r])
+        exact = short[q, r] + np.einsum("ij,ij->i", long[q], self.whole[r])
         stay = exact > 0
         return q[stay] + base, r[stay], exact[stay]
 
@@ -126,7 +122,7 @@ class Index:
         return np.concatenate([self.postings[spread(self.starts[t[:few]], size[:few])], *pieces])
 
     def _rough(self, weights: np.ndarray, short: np.ndarray, q: np.ndarray, r: np.ndarray) -> np.ndarray:
-        """Scores with short lists rounded up and long ones in single precision; q ascends."""
+        """Scores with the long lists in single precision; q ascends."""
         out = short[q, r]
         cuts = np.searchsorted(q, np.arange(weights.shape[0] + 1))
         for i in range(weights.shape[0]):
@@ -135,16 +131,6 @@ class Index:
                 out[lo:hi] += self.table[r[lo:hi]] @ weights[i]
         return out
 
-    def _exact(self, chosen: np.ndarray, key: np.ndarray, t: np.ndarray, w: np.ndarray, size: np.ndarray, cells: int) -> np.ndarray:
-        """Exact sums over short lists of the chosen cells, which ascend, from those postings (cells `key`) that lie in them."""
-        mark = np.zeros(cells, bool)
-        mark[chosen] = True
-        at = np.flatnonzero(mark[key])
-        before = np.cumsum(size) - size
-        which = np.searchsorted(before, at, side="right") - 1
-        value = w[which] * self.impact[self.starts[t[which]] + at - before[which]]
-        return np.bincount(np.searchsorted(chosen, key[at]), weights=value, minlength=chosen.size).astype(np.float64, copy=False)
-
 
 def _kth(scores: np.ndarray, k: int) -> np.ndarray:
     """The k-th best of each row."""
