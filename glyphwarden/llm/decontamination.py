@@ -9,10 +9,11 @@ Chunk hashes are looked up in the broadcast hash set; each row takes along the w
 around its chunk, and every hit is verified on them, word for word.  Documents are
 never shuffled: only verified hits and one row for each document are.
 
-The set is broadcast up to `broadcast_rows` rows (it is counted first); a larger one is
+The set is broadcast up to `broadcast_bytes` (its texts are measured first); a larger one is
 joined by Spark's own choice.  Special cases: null and empty texts have no words and no
-hits; benchmark rows without an id or words are left out; repeated document rows each
-get their row; an empty benchmark hits nothing.
+hits; null ids are ids like others; benchmark rows without an id or words are left out; repeated document rows each
+get their row; a text of any length is scanned whole, as one row's array of chunks; an empty benchmark hits nothing,
+an empty table gives an empty result; columns of any name are kept as they are.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ascii_lower, few, stored
+from .shared import ascii_lower, few, stored, unused
 
 #: Fixed value of the contract: what stands between words, after lower-casing.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -62,32 +63,42 @@ def chunk_set(found: DataFrame) -> DataFrame:
 
 
 def _chunks(length: int) -> Column:
-    """The chunks of the words column w, with the words that a window around each can have."""
+    """The chunks of the words column w, with the words that a window around each can have.
+
+    Words are taken one by one: slice() would copy the whole array for each chunk, which long texts can't bear.
+    """
     c, s = chunk_sizes(length)
-    at = f"greatest(q - {s - 1}, 0)"
+
+    def joined(first: int, last: int) -> str:
+        return f"concat_ws(' ', {', '.join(f'get(w, q + {k})' for k in range(first, last + 1))})"
+
     return F.expr(
         f"""if(size(w) < {length}, array(), transform(sequence(0, size(w) - {c}, {s}), q -> struct(
-            q as q, {length} as length, array_join(slice(w, q + 1, {c}), ' ') as chunk,
-            array_join(slice(w, {at} + 1, q + {length} - {at}), ' ') as around)))"""
+            q as q, {length} as length, {joined(0, c - 1)} as chunk, {joined(1 - s, length - 1)} as around)))"""
     ).cast("array<struct<q:int,length:int,chunk:string,around:string>>")
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, keys: list[Column], text: Column, item_id: str = "item_id", item_text: str = "text", size: int = 13, broadcast_rows: int = 2_000_000) -> DataFrame:
+def hits(docs: DataFrame, benchmark: DataFrame, keys: list[Column], text: Column, item_id: str = "item_id", item_text: str = "text", size: int = 13, broadcast_bytes: int = 64_000_000) -> DataFrame:
     """keys, n_words, positions array<struct<p,length>>, items array<string> of every row of docs; keys must tell rows apart."""
     names = [f"k{i}" for i in range(len(keys))]
     found = stored(windows(benchmark, item_id, item_text, size), "windows")
     # at most `size` lengths
     lengths = sorted(r[0] for r in found.select("length").distinct().collect())
     chunks = chunk_set(found)
-    rows = found.agg(F.coalesce(F.sum(F.col("length") - F.ceil(F.col("length") / 2) + 1), F.lit(0))).first()[0]
-    if rows <= broadcast_rows:
+    each = F.octet_length("window") + F.octet_length("item_id") + 64
+    held = found.agg(F.coalesce(F.sum((F.col("length") - F.ceil(F.col("length") / 2) + 1) * each), F.lit(0))).first()[0]
+    if held <= broadcast_bytes:
         chunks = F.broadcast(chunks)
 
     # each document's own record comes first, so that documents without a chunk stay
     own = F.array(F.struct(F.lit(-1).alias("q"), F.lit(0).alias("length"), F.lit("").alias("chunk"), F.lit("").alias("around")))
     texts = docs.select(*(k.alias(n) for k, n in zip(keys, names, strict=True)), words(text).alias("w"))
-    scanned = texts.select(*names, F.size("w").cast("long").alias("n_words"), F.explode(F.concat(own, *(_chunks(n) for n in lengths))).alias("c")).select(
-        *names, "n_words", "c.q", "c.length", F.when(F.col("c.q") >= 0, _chunk_hash(F.col("c.length"), F.col("c.chunk"))).alias("dh"), "c.around"
+    # the number of words is taken before the words are exploded, so that no exploded row carries them
+    texts = texts.select(*names, F.size("w").cast("long").alias("n_words"), "w")
+    scanned = texts.select(*names, "n_words", F.explode(F.concat(own, *(_chunks(n) for n in lengths))).alias("c")).select(
+        *names, "n_words", "c.q", "c.length", 
+        # a document's own record matches nothing (no window has length 0); its hash deals such records out
+        F.when(F.col("c.q") >= 0, _chunk_hash(F.col("c.length"), F.col("c.chunk"))).otherwise(F.xxhash64(*names)).alias("dh"), "c.around"
     )
     p = F.col("q") - F.col("shift")
     joined = scanned.join(chunks, (F.col("dh") == F.col("h")) & (F.col("length") == F.col("w_length")), "left")
@@ -129,15 +140,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     """
     key = F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
     found = hits(docs, benchmark, [key, F.monotonically_increasing_id()], F.col(text_col), size=size)
-    counted = found.select(F.col("k0").alias("__key"), "n_words", _hit_words().alias("__hit")).where(F.size("__hit") > 0)
+    k, hit, pieces = unused(docs, "__key", "__hit", "__pieces")
+    counted = found.select(F.col("k0").alias(k), "n_words", _hit_words().alias(hit)).where(F.size(hit) > 0)
+    names = [F.col(f"`{c}`") for c in docs.columns]
     if remove == "documents":
-        gone = stored(counted.where(is_contaminated(F.size("__hit"), F.col("n_words"))).select("__key").distinct(), "contaminated")
-        return docs.withColumn("__key", key).join(few(gone, 500_000), "__key", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
-    cut = stored(counted.select("__key", "__hit").dropDuplicates(["__key"]), "hit-words")
-    pieces = F.regexp_extract_all(F.col(text_col), F.lit(r"[0-9A-Za-z\x{80}-\x{10FFFF}]+|[^0-9A-Za-z\x{80}-\x{10FFFF}]+"), F.lit(0))
-    kept = F.expr("array_join(filter(__pieces, (x, i) -> (i % 2 = 0) != (__pieces[0] rlike '^[0-9A-Za-z\\\\x{80}-\\\\x{10FFFF}]') or not array_contains(__hit, int(i div 2))), '')")
+        gone = stored(counted.where(is_contaminated(F.size(hit), F.col("n_words"))).select(k).distinct(), "contaminated")
+        return docs.withColumn(k, key).join(few(gone, 500_000), k, "left_anti").select(*names)
+    cut = stored(counted.select(k, hit).dropDuplicates([k]), "hit-words")
+    every = F.regexp_extract_all(F.col(text_col), F.lit(r"[0-9A-Za-z\x{80}-\x{10FFFF}]+|[^0-9A-Za-z\x{80}-\x{10FFFF}]+"), F.lit(0))
+    kept = F.expr(f"array_join(filter({pieces}, (x, i) -> (i % 2 = 0) != ({pieces}[0] rlike '^[0-9A-Za-z\\\\x{{80}}-\\\\x{{10FFFF}}]') or not array_contains({hit}, int(i div 2))), '')")
     return (
-        docs.withColumn("__key", key).join(cut, "__key", "left").withColumn("__pieces", F.when(F.col("__hit").isNotNull(), pieces))
-        .withColumn(text_col, F.when(F.col("__hit").isNull(), F.col(text_col)).otherwise(kept))
-        .select(*(F.col(f"`{c}`") for c in docs.columns))
+        docs.withColumn(k, key).join(cut, k, "left").withColumn(pieces, F.when(F.col(hit).isNotNull(), every))
+        .withColumn(text_col, F.when(F.col(hit).isNull(), F.col(text_col)).otherwise(kept)).select(*names)
     )

@@ -61,6 +61,17 @@ def n_groups(df: DataFrame, each: int = 16_000_000, most: int = 50_000) -> int:
     return max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), known)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before them until no column of df has them."""
+    have, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in have:
+            n = "_" + n
+        have.add(n.lower())
+        out.append(n)
+    return out
+
+
 def few(df: DataFrame, rows: int) -> DataFrame:
     """df as a broadcast side if it has at most `rows` rows, which are counted; else Spark's own choice of join."""
     return F.broadcast(df) if df.count() <= rows else df
