@@ -23,7 +23,8 @@ all training documents.  Words that stand there four times or more, the most fre
 the counts by word.
 
 Special cases: null texts are empty texts (an end alone); a null id counts as the empty
-text for the fold; repeated rows are scored, and learned from, one by one; without
+text for the fold; repeated rows are scored, and learned from, one by one; texts of any length
+are read whole, a megabyte at a time; an empty table gives an empty result; without
 training rows every byte has 2**-8 and every token 0.1 / 0.1.
 """
 
@@ -38,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import crc_remainder, mix64, slices, stored, tidy, utf8_column
+from .shared import crc_remainder, mix64, n_groups, slices, stored, tidy, utf8_column
 from .wordhash import word_hashes
 
 _RUN = 1 << 20
@@ -398,7 +399,7 @@ def frequent_values(counted: DataFrame, depth: int, strings: int, upper) -> tupl
 def score(docs: DataFrame, train: Column, depth: int = 5, strings: int = 2_000_000, words: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_tokens, n_known, train_tokens, base_score, score, n_bytes of every row; `train` is a condition on docs."""
     spark = docs.sparkSession
-    parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = n_groups(docs)
     id_type = docs.schema[id_col].dataType.simpleString()
     learned = docs.where(train).select(F.col(text_col).alias("text"))
     packed = stored(train_counts(learned, depth, parts), "packed")

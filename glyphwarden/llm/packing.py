@@ -7,8 +7,8 @@ filled windows, tracked in a level array.  Each task packs its own rows in their
 whole windows and, for the last ones, into sequences whose length is a power of two,
 which need no padding.
 
-Special cases: a null text is the empty text and has the end id alone; repeated rows
-are packed one by one; an empty table gives no pieces.
+Special cases: a null text is the empty text and has the end id alone; null ids are ids like others; repeated rows
+are packed one by one; texts of any length are read whole; an empty table gives no pieces.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ into scores from 0 to 1.
 
 Special cases: a null or empty text has the bias alone; with rows of one label only, or
 none, every score is that label's share (0.5 without rows); repeated rows are scored one
-by one; an empty table gives an empty result.
+by one, and one text of a repeated id is learned from; texts of any length are read whole; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations

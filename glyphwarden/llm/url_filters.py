@@ -6,7 +6,7 @@ partitioned and sorted on (key, id); a sweep then walks each partition once and
 keeps the stack of rule hosts whose intervals hold the current key.
 
 Results in special cases: a null url, or one without "://", has an empty host and
-path and fits no rule; repeated rows are judged one by one; an empty table gives
+path and fits no rule; null ids are ids like others; repeated rows are judged one by one; an empty table gives
 an empty result; an url that fits no rule gets `default`.
 """
 

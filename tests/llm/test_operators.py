@@ -543,3 +543,104 @@ def test_pipeline_stages(spark, tmp_path):
     assert not any(i < 200 and i % 4 == 0 and i % 7 for i in left)
     packed = corpus_pipeline.run(spark, str(tmp_path))
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == set(left)
+
+
+#: Nulls in any column, empty and very long texts, repeated rows and ids, and columns with names that operators use.
+def odd_rows(spark):
+    long = "long words of one text " * 220_000  # about 5 MB
+    rows = [(1, None), (1, None), (2, ""), (2, ""), (3, "some words here"), (3, "some words here"), (3, "another text under three"), (None, "some words here"), (None, None), (4, long), (5, long + "end"), (6, "é" * 1000)]
+    names = "doc_id long, text string, lang string, source string, n_chars long, score double, evidence string, `__key` string, `__hit` int, `__pieces` string, `__id` long, `__mark` string, h long, y int, part int, id string"
+    return spark.createDataFrame([(i, t, None, None, None, 0.5, "own", f"k{n}", n, "p", 7, "m", 1, 1, None, f"i{n}") for n, (i, t) in enumerate(rows)], names)
+
+
+@pytest.mark.parametrize("name", ["op1", "op2", "op3", "op4", "op5", "op6", "op8", "op9", "op10", "stages"])
+def test_odd_rows(spark, tmp_path, name):
+    docs = odd_rows(spark)
+    ids = Counter(r.doc_id for r in docs.select("doc_id").collect())
+    bench = spark.createDataFrame([(1, "some words here"), (None, "x"), (2, None)], "item_id long, text string")
+    labels = spark.createDataFrame([(3, 1, 1), (6, 0, 0), (2, 0, 0), (None, 1, 1), (4, None, None)], "doc_id long, quality int, toxic int")
+    any_id = F.lit(True)
+
+    def run(d):
+        if name == "op1":
+            return decontamination.contamination(d, bench)
+        if name == "op2":
+            return toxicity.score(d, toxicity.fit(d, labels, "toxic", any_id))
+        if name == "op3":
+            return ngram_jaccard.jaccard_classes(d)
+        if name == "op4":
+            return topk_search.search(d, any_id, k=3)
+        if name == "op5":
+            out = str(tmp_path / f"t{d.limit(1).count()}")
+            token_output.write_tokens(d, out)
+            return token_output.read_tokens(spark, out)
+        if name == "op6":
+            return lm_scoring.score(d, lm_scoring.trained_on())
+        if name == "op8":
+            return packing.pack(d).where("start = 0")
+        if name == "op9":
+            return quality.score(d, quality.fit(d, labels, "quality", any_id))
+        if name == "op10":
+            return secret_scans.scan(d)
+        kept = secret_scans.redact(decontamination.decontaminate(ngram_jaccard.keep_one(toxicity.reject(d, labels, threshold=1.01)), bench))
+        assert kept.columns == d.columns
+        return kept
+
+    got = run(docs).collect()
+    found = Counter(r.doc_id for r in got)
+    if name == "op4":
+        assert {r.query_id for r in got} == {3, 4, 5, 6} and found[1] == 0
+    elif name == "stages":  # copies of 3 and one of the two long texts go, then what holds the benchmark's words
+        assert found == Counter({1: 2, 2: 2, 3: 1, None: 1, 4: 1, 6: 1}) and all(r["__key"].startswith("k") and r["evidence"] == "own" and r["__id"] == 7 for r in got)
+    else:
+        assert found == ids
+    assert run(docs.limit(0)).collect() == []
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_levels_choose_the_least_sum_of_squares():
+    rng = np.random.default_rng(2)
+    for _ in range(300):
+        levels = packing.Levels(16)
+        levels.count[1:16] = rng.integers(0, 4, 15)
+        r = int(rng.integers(1, 16))
+        def cost(h):
+            n = levels.count.copy()
+            n[h] -= h > 0
+            if h + r < 16:
+                n[h + r] += 1
+            return int((n[1:16] ** 2).sum())
+        open_levels = [0] + [h for h in range(1, 17 - r) if levels.count[h]]
+        best = min(map(cost, open_levels))
+        assert cost(levels.choose(r)) == best
+        assert levels.choose(r) == max(h for h in open_levels if cost(h) == best)
+
+
+def test_quality_against_a_dense_solver():
+    """Dual coordinate descent reaches the minimum of the hinge loss that a long subgradient descent approaches from above."""
+    rng = np.random.default_rng(9)
+    rows = [np.unique(rng.integers(0, 30, 8)).astype(np.int32) for _ in range(60)]
+    y = np.where(rng.random(60) < 0.5, 1.0, -1.0)
+    scale, cost = rng.normal(size=30), np.full(60, 0.7)
+    w = quality.descend(rows, y, scale, cost, epochs=400)
+    x = np.zeros((60, 31))
+    for i, r in enumerate(rows):
+        x[i, r] = scale[r] / np.sqrt((scale[r] ** 2).sum())
+        x[i, 30] = 1
+
+    def loss(v):
+        return 0.5 * v @ v + (cost * np.maximum(0, 1 - y * (x @ v))).sum()
+
+    v, best = np.zeros(31), np.inf
+    for t in range(1, 20001):
+        v = v - (v - (cost * y * (y * (x @ v) < 1)) @ x) / (t + 10)
+        best = min(best, loss(v))
+    assert loss(w) <= best * (1 + 1e-3)
