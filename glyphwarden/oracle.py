@@ -133,8 +133,8 @@ _STUDIED = f"""{_CLEAN}, {_LANGUAGE},
 b AS (SELECT doc_id, text, lower(text) AS low, list_transform({_EACH}, lambda w: lower(w)) AS tok, {_PIECES} AS ss, list_filter(regexp_split_to_array(text, '\\n\\s*\\n'), lambda s: regexp_matches(s, '\\S')) AS ps,
   len(list_filter(regexp_split_to_array(text, '\\r\\n|[\\n\\x0B\\x0C\\r\\x{{1C}}-\\x{{1E}}\\x{{85}}\\x{{2028}}\\x{{2029}}]'), lambda s: regexp_matches(s, '[^\\s\\x{{A0}}]'))) AS n_lines FROM clean),
 d AS (SELECT b.doc_id, text, low, tok, n_lines, coalesce(language, 'unknown') AS language, CAST(len(tok) AS INTEGER) AS n_words, CAST(len(ss) AS INTEGER) AS n_sentences, CAST(len(ps) AS INTEGER) AS n_paragraphs, CAST(length(text) AS INTEGER) AS n_chars,
-  list_transform(ss, {_N_WORDS}) AS sl, list_transform(ps, {_N_WORDS}) AS pl, list_filter(list_transform(ss, lambda s: trim(lower(regexp_extract(s, '\\S+')), '.,;:—-')), lambda w: w <> '') AS openings FROM b LEFT JOIN l USING (doc_id)),
-ms AS (SELECT doc_id, text, n_lines, language, n_words, n_sentences, n_paragraphs, n_chars, {", ".join(f"round(CAST({v} AS DOUBLE), 6) AS {k}" for k, v in _MEASURES.items())} FROM d)"""
+  list_transform(ss, {_N_WORDS}) AS sl, list_transform(ps, {_N_WORDS}) AS pl, list_filter(list_transform(ss, lambda s: trim(lower(regexp_extract(s, '\\S+')), '.,;:—-' || chr(57344))), lambda w: w <> '') AS openings FROM b LEFT JOIN l USING (doc_id)),
+ms AS (SELECT doc_id, text, n_lines, language, n_words, n_sentences, n_paragraphs, n_chars, {", ".join(f"round_even(CAST({v} AS DOUBLE), 6) AS {k}" for k, v in _MEASURES.items())} FROM d)"""
 
 
 def _part(name: str) -> str:
