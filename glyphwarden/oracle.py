@@ -114,7 +114,7 @@ _MEASURES = {
     "sentence_length_cv": _SPREAD.format("sl"), "paragraph_length_cv": _SPREAD.format("pl"),
     "mean_word_length": "CASE WHEN n_words > 0 THEN list_sum(list_transform(tok, lambda w: length(w))) / n_words ELSE 0 END",
     "long_word_ratio": "CASE WHEN n_words > 0 THEN len(list_filter(tok, lambda w: length(w) >= 7)) / n_words ELSE 0 END",
-    "mattr": "CASE WHEN n_words = 0 THEN 0.0 WHEN n_words <= 50 THEN len(list_distinct(tok)) / n_words ELSE list_avg(list_transform(range(1, n_words - 48, 10), lambda i: len(list_distinct(tok[i:i + 49])))) / 50 END",
+    "mattr": "CAST(round(CAST(printf('%.18f', CAST(CASE WHEN n_words = 0 THEN 0.0 WHEN n_words <= 50 THEN len(list_distinct(tok)) / n_words ELSE list_avg(list_transform(range(1, n_words - 48, 10), lambda i: len(list_distinct(tok[i:i + 49])))) / 50 END AS DOUBLE)) AS DECIMAL(38, 20)), 6) AS DOUBLE)",
     "hapax_ratio": "CASE WHEN n_words > 0 THEN (SELECT sum(CAST(n = 1 AS INTEGER)) / count(*) FROM (SELECT count(*) AS n FROM (SELECT unnest(tok) AS w) GROUP BY w)) ELSE 0 END",
     "discourse_marker_rate": _rate(lex.DISCOURSE), "assistant_lexicon_rate": _rate(lex.ASSISTANT), "hedge_rate": _rate(lex.HEDGES),
     "contraction_rate": f"CASE WHEN language = 'en' THEN len(list_filter(tok, lambda w: w IN {_in(lex.CONTRACTIONS)})) * 100.0 / greatest(n_words, 1) ELSE 0 END",
