@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.rounding import rounded, rounded_sql
 from . import features
 
 
@@ -19,6 +22,8 @@ PRIOR = {
     "comma_per_sentence": (1.50, 0.80, 0.15), "ellipsis_char_rate": (0.10, 0.35, 0.15),
 }
 BIAS, TEMPERATURE, CLIP, FULL_WORDS, LEAST_WORDS = -0.35, 0.45, 2.5, 150, 15
+#: Weight by temperature of each measure: the decimal product, not that of two doubles.
+SHARE = {f: float(Decimal(str(w)) * Decimal(str(TEMPERATURE))) for f, (_, _, w) in PRIOR.items()}
 # Profiles as (measure, target, tolerance, direction, weight, language).
 PROFILES = {
     "structured_assistant": [
@@ -52,7 +57,7 @@ def _z(feature: str) -> str:
 
 def _part(feature: str) -> str:
     """What a measure adds to the log-odds, as SQL: one string costs less to build than its many Columns."""
-    part = f"{_z(feature)} * {PRIOR[feature][2] * TEMPERATURE!r}D"
+    part = f"{_z(feature)} * {SHARE[feature]!r}D"
     return f"if(language = 'en', {part}, 0D)" if feature == "contraction_rate" else part
 
 
@@ -61,7 +66,7 @@ def contribution_array(most: int = 10) -> Column:
     every = ", ".join(f"named_struct('by', -abs({_part(f)}), 'i', {i}, 'feature', '{f}', 'value', {f}, 'z', {_z(f)}, 'part', {_part(f)})" for i, f in enumerate(PRIOR))
     return F.expr(
         f"""transform(slice(array_sort(filter(array({every}), c -> c.feature <> 'contraction_rate' or language = 'en')), 1, {most}),
-            c -> named_struct('feature', c.feature, 'value', round(c.value, 4), 'z', round(c.z, 3), 'contribution', round(c.part, 4), 'direction', if(c.part > 0, 'assistant', 'human')))"""
+            c -> named_struct('feature', c.feature, 'value', {rounded_sql('c.value', 4)}, 'z', {rounded_sql('c.z', 3)}, 'contribution', {rounded_sql('c.part', 4)}, 'direction', if(c.part > 0, 'assistant', 'human')))"""
     )
 
 
@@ -75,8 +80,8 @@ def values_of(measured: list[dict]) -> list[float]:
     if not measured:
         return []
     table = np.array([[m[f] for f in PRIOR] for m in measured])
-    mean, sd, weight = np.array(list(PRIOR.values())).T
-    z = np.clip((table - mean) / sd, -CLIP, CLIP) * weight * TEMPERATURE
+    mean, sd, _ = np.array(list(PRIOR.values())).T
+    z = np.clip((table - mean) / sd, -CLIP, CLIP) * np.array([SHARE[f] for f in PRIOR])
     z[:, list(PRIOR).index("contraction_rate")] *= [m["language"] == "en" for m in measured]
     n = np.array([m["n_words"] for m in measured])
     raw = 1 / (1 + np.exp(-(z.sum(axis=1) + BIAS)))
@@ -97,7 +102,7 @@ def judged(docs: DataFrame, value: Column, model: str, trained: bool, half: Colu
     """docs with style_raw (unrounded), style_value, _low, _high, _label, _confidence, _model and _trained of a value."""
     v, b, n = F.col("style_raw"), F.col("__b"), F.col("n_words")
     return docs.withColumn("style_raw", value).withColumn("__b", half_band(n) if half is None else half).withColumns({
-        "style_value": F.round(v, 4), "style_low": F.round(F.greatest(F.lit(0.0), v - b), 4), "style_high": F.round(F.least(F.lit(1.0), v + b), 4),
+        "style_value": rounded(v, 4), "style_low": rounded(F.greatest(F.lit(0.0), v - b), 4), "style_high": rounded(F.least(F.lit(1.0), v + b), 4),
         "style_label": F.when(n < LEAST_WORDS, "insufficient_text").when(v >= 0.85, "likely_assistant_strong").when(v >= 0.65, "likely_assistant").when(v <= 0.35, "likely_human").otherwise("inconclusive"),
         "style_confidence": F.when(n < LEAST_WORDS, "none").when((b <= 0.12) & (n >= 250), "high").when(b <= 0.22, "medium").otherwise("low"),
         "style_model": F.lit(model), "style_trained": F.lit(trained),
@@ -133,7 +138,7 @@ def likeness(traits: list[tuple]) -> str:
         penalty, share = f"least(1D, {away} / {max(tolerance, 1e-6)}D) * {weight}D", f"{weight}D"
         penalties.append(f"if(language = '{language}', {penalty}, 0D)" if language else penalty)
         weights.append(f"if(language = '{language}', {share}, 0D)" if language else share)
-    return f"round(least({MOST_ALIKE}D, greatest(0D, 1 - ({' + '.join(penalties)}) / ({' + '.join(weights)}))), 4)"
+    return rounded_sql(f"least({MOST_ALIKE}D, greatest(0D, 1 - ({' + '.join(penalties)}) / ({' + '.join(weights)})))", 4)
 
 
 def profile_array(most: int = 3) -> Column:
@@ -151,11 +156,11 @@ def profiles(docs: DataFrame, most: int = 3, key: str = "doc_id", text: str = "t
 
 def blended(docs: DataFrame, surprisal: str) -> DataFrame:
     """Judged docs whose score takes three tenths of a language model's signal where there is one: clipped, rounded, with a band wider by 0.02."""
-    s, v = F.col(surprisal), F.round(F.greatest(F.lit(0.02), F.least(F.lit(0.98), 0.7 * F.col("style_raw") + 0.3 * F.col(surprisal))), 4)
+    s, v = F.col(surprisal), rounded(F.greatest(F.lit(0.02), F.least(F.lit(0.98), 0.7 * F.col("style_raw") + 0.3 * F.col(surprisal))), 4)
     return docs.withColumns({
         "style_raw": F.when(s.isNull(), F.col("style_raw")).otherwise(v), "style_value": F.when(s.isNull(), F.col("style_value")).otherwise(v),
-        "style_low": F.when(s.isNull(), F.col("style_low")).otherwise(F.round(F.greatest(F.lit(0.0), F.col("style_low") - 0.02), 4)),
-        "style_high": F.when(s.isNull(), F.col("style_high")).otherwise(F.round(F.least(F.lit(1.0), F.col("style_high") + 0.02), 4)),
+        "style_low": F.when(s.isNull(), F.col("style_low")).otherwise(rounded(F.greatest(F.lit(0.0), F.col("style_low") - 0.02), 4)),
+        "style_high": F.when(s.isNull(), F.col("style_high")).otherwise(rounded(F.least(F.lit(1.0), F.col("style_high") + 0.02), 4)),
     })
 
 
@@ -175,5 +180,5 @@ def surprisal_summary(surprisals: Column, least: int = 8) -> Column:
     enough = F.coalesce(n >= least, F.lit(False))
     cv = F.when(mean > 0, spread / mean).otherwise(0.0)
     return F.struct(
-        enough.alias("available"), F.when(~enough, "too few tokens, or no language model").alias("reason"), F.when(enough, F.round(mean, 4)).alias("mean"), F.when(enough, F.round(cv, 4)).alias("cv"),
-        F.when(enough, F.round(F.exp(mean), 3)).alias("perplexity"), F.when(enough, F.round(surprisal_signal(mean, cv), 4)).alias("signal"))
+        enough.alias("available"), F.when(~enough, "too few tokens, or no language model").alias("reason"), F.when(enough, rounded(mean, 4)).alias("mean"), F.when(enough, rounded(cv, 4)).alias("cv"),
+        F.when(enough, rounded(F.exp(mean), 3)).alias("perplexity"), F.when(enough, rounded(surprisal_signal(mean, cv), 4)).alias("signal"))
