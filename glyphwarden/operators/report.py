@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.rounding import rounded
 from ..functions.study import FEATURES
 from ..functions.text import preview, unit
 
@@ -12,7 +13,7 @@ from ..functions.text import preview, unit
 def risk_score(watermark: Column, watermark_label: Column, style: Column, style_label: Column) -> Column:
     """One number for triage: the watermark in the main, style as a smaller share, a recovered payload at least 0.9."""
     base = F.when(style_label == "insufficient_text", 0.85 * watermark).otherwise(0.75 * watermark + 0.25 * F.greatest(F.lit(0.0), style - 0.5) * 2)
-    return F.round(unit(F.when(watermark_label == "payload_recovered", F.greatest(base, F.lit(0.9))).otherwise(base)), 4)
+    return rounded(unit(F.when(watermark_label == "payload_recovered", F.greatest(base, F.lit(0.9))).otherwise(base)), 4)
 
 
 def risk_label(score: Column) -> Column:

@@ -21,3 +21,8 @@ def test_weights_are_decimal_products():
     assert style.SHARE["mean_sentence_length"] == 0.135 and style.SHARE["sentence_length_cv"] == -0.3825
 
 
+def test_risk_by_scaled_value(spark):
+    def risk(w: float) -> float:
+        return spark.range(1).select(report.risk_score(F.lit(w), F.lit("clean"), F.lit(0.5), F.lit("inconclusive")).alias("r")).first().r
+
+    assert risk(0.7614) == 0.571  # analyse: 5710.4999... ten-thousandths
