@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import study
+from ..functions.rounding import rounded
 from ..functions.text import let, preview
 from .payloads import decode_all
 
@@ -31,7 +32,7 @@ def placed_payloads(payloads: Column, carriers: Column) -> Column:
     def one(p: Column) -> Column:
         mine = F.get(F.filter(carriers, lambda c: F.startswith(p["note"], c["note"])), F.lit(0))
         return let(mine, lambda c: F.struct(
-            p["channel"].alias("channel"), p["text"].alias("text"), p["byte_length"].alias("byte_length"), F.round(p["printable_ratio"], 4).alias("printable_ratio"), p["n_carriers"].alias("carrier_count"),
+            p["channel"].alias("channel"), p["text"].alias("text"), p["byte_length"].alias("byte_length"), rounded(p["printable_ratio"], 4).alias("printable_ratio"), p["n_carriers"].alias("carrier_count"),
             c["first"].alias("first_offset"), c["last"].alias("last_offset"), p["note"].alias("note")))
 
     return F.transform(payloads, one)
@@ -82,5 +83,5 @@ def watermark(docs: DataFrame) -> DataFrame:
         "watermark_label": F.when(payload, "payload_recovered").when(s >= 0.8, "watermark_detected").when(s >= 0.5, "watermark_suspected").when(s >= 0.2, "weak_indicators").otherwise("clean"),
         "watermark_confidence": F.when(payload | (s >= 0.8), "high").when(s >= 0.5, "medium").otherwise("low"),
         "watermark_basis": F.when(F.size(hard) > 0, "bytes").when(F.size(soft) > 0, "stylistic").otherwise("none"),
-        "watermark_score": F.round(s, 4),
+        "watermark_score": rounded(s, 4),
     })

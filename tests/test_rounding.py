@@ -26,3 +26,4 @@ def test_risk_by_scaled_value(spark):
         return spark.range(1).select(report.risk_score(F.lit(w), F.lit("clean"), F.lit(0.5), F.lit("inconclusive")).alias("r")).first().r
 
     assert risk(0.7614) == 0.571  # analyse: 5710.4999... ten-thousandths
+    assert risk(0.2778) == 0.2084  # analyse_distinct: 2083.5
