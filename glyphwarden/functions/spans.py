@@ -43,9 +43,13 @@ def filled(text: str, breaks: Iterable[tuple[int, int]]) -> list[tuple[int, int]
     return [(begin, end) for (_, begin), (end, _) in zip(edges, edges[1:], strict=False) if text[begin:end].strip()]
 
 
-def sentence_ranges(text: str) -> list[tuple[int, int]]:
+def sentence_ranges(text: str, lone: bool = False) -> list[tuple[int, int]]:
+    """Where sentences start and end.  A full stop after an abbreviation ends none; with `lone` it does where more signs follow it ("No.!!")."""
+
     def real(m: re.Match) -> bool:
-        return m[0].isspace() or not _SHORT.search(text[max(0, m.start() + 1 - _REACH) : m.start() + 1])
+        if m[0].isspace() or lone and m[0][1] in ".!?…":
+            return True
+        return not _SHORT.search(text[max(0, m.start() + 1 - _REACH) : m.start() + 1])
 
     return filled(text, ((m.start() + len(m[0].rstrip()), m.end()) for m in _END.finditer(text) if real(m)))
 
@@ -98,7 +102,7 @@ def _rows(text: str, ranges: list[tuple[int, int]], starts: list[int] | None = N
 
 
 def sentences(text: str) -> list[tuple[int, int, str, int]]:
-    return _rows(text, sentence_ranges(text))
+    return _rows(text, sentence_ranges(text, lone=True))
 
 
 def paragraphs(text: str) -> list[tuple[int, int, str, int]]:
