@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicons as lex
 from ..functions import study
 from ..functions.codepoints import WHITE_SET
+from ..functions.rounding import rounded
 from ..functions.text import in_list, let, matches, words
 
 FEATURES = study.FEATURES
@@ -30,7 +31,7 @@ def language_scores(tokens: Column, lowered: Column) -> Column:
         share = in_list(head, stops) / F.size(head)
         if code in lex.HINTS:
             share = share + F.least(F.lit(0.15), matches(lowered, f"[{lex.HINTS[code]}]") / F.greatest(F.length(lowered), F.lit(1)) * 6.0)
-        out.append(F.struct(F.round(share, 4).alias("score"), F.lit(-rank).alias("rank"), F.lit(code).alias("code")))
+        out.append(F.struct(rounded(share, 4).alias("score"), F.lit(-rank).alias("rank"), F.lit(code).alias("code")))
     return F.array(*out)
 
 
@@ -40,7 +41,7 @@ def detect_language(docs: DataFrame, text: str = "text") -> DataFrame:
     scored = named.withColumn("__s", F.when(F.size("__tok") > 0, F.reverse(F.array_sort(language_scores(F.col("__tok"), F.col("__low"))))))
     best, next_best = F.get("__s", F.lit(0)), F.get("__s", F.lit(1))
     clear = best["score"] >= 0.08
-    confidence = F.when(clear, F.round(F.least(F.lit(1.0), 0.5 + (best["score"] - next_best["score"]) * 6), 3)).otherwise(F.round(best["score"] * 4, 3))
+    confidence = F.when(clear, rounded(F.least(F.lit(1.0), 0.5 + (best["score"] - next_best["score"]) * 6), 3)).otherwise(rounded(best["score"] * 4, 3))
     return scored.withColumn("language", F.when(clear, best["code"]).otherwise("unknown")).withColumn("language_confidence", F.coalesce(confidence, F.lit(0.0))).drop("__tok", "__low", "__s")
 
 

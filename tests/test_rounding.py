@@ -21,6 +21,14 @@ def test_weights_are_decimal_products():
     assert style.SHARE["mean_sentence_length"] == 0.135 and style.SHARE["sentence_length_cv"] == -0.3825
 
 
+def test_measures_by_scaled_value():
+    words = " ".join(["ab"] * 357 + ["c"] * 283)  # 997 letters in 640 words: 1.5578125, whose exact value is above the half
+    assert study.measure(words, "en")["mean_word_length"] == 1.557812
+    text = "!a!a!" + "a" * 3067  # 3 in 3,072 characters: 0.9765625
+    assert len(text) == 3072 and study.measure(text, "en")["exclamation_rate"] == 0.976562
+    assert study.half_up(1 / 32, 4) == 0.0313
+
+
 def test_risk_by_scaled_value(spark):
     def risk(w: float) -> float:
         return spark.range(1).select(report.risk_score(F.lit(w), F.lit("clean"), F.lit(0.5), F.lit("inconclusive")).alias("r")).first().r
